@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from marginalia.operators import aggregate, dedup, retrieval, sets, textops, timeline, trust
+from marginalia.plans import analysis
+from marginalia.sources import files
+from marginalia.streaming import ledger
+
 FLAGSHIP = "overview"
 
+_MODULES = (aggregate, trust, textops, dedup, timeline, retrieval, sets, analysis, files, ledger)
+
 
 def queries() -> dict:
-    return {}
+    return {name: pair[0] for m in _MODULES for name, pair in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: pair[1] for m in _MODULES for name, pair in m.QUERIES.items() if pair[1]}
