@@ -20,6 +20,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ from marginalia.storage import Rows, cut
 SEED = 42
 #: Differing bits that the two-band grid of ``cells`` covers.
 MAX_BITS = 4
+#: Seeds whose fingerprints over distinct words find candidates for ``similar_groups``.
+SPACES = 4
 PAIRS = np.uint64(0x5555555555555555)
 
 
@@ -96,38 +99,49 @@ def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _explode_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fp = batch.column("fp").to_numpy(zero_copy_only=False)
+        fp, more = batch.column("fp").to_numpy(zero_copy_only=False), "id" in batch.schema.names
         for at in range(0, len(fp), 2048):
-            part = fp[at : at + 2048]
-            cell, of = cells(part.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(part[of])], names=["cell", "fp"])
+            cell, of = cells(fp[at : at + 2048].view(np.uint64))
+            take = lambda c: batch.column(c).to_numpy(zero_copy_only=False)[at : at + 2048][of]  # noqa: B023, E731
+            if more:
+                cell |= take("space").astype(np.int64) << 33
+            names = ["fp", "id"] if more else ["fp"]
+            yield pa.RecordBatch.from_arrays([pa.array(cell), *[pa.array(take(n)) for n in names]], names=["cell", *names])
 
 
-def forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the graph that links fingerprints at ``bits`` or fewer differing bits."""
-    rest, left, right = fp.view(np.uint64), [], []
+def forest(fp: np.ndarray, names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, by name, of a spanning forest of the graph that links fingerprints at ``bits`` or fewer differing bits.
+
+    The search starts from the least name, and takes the nearest first.
+    """
+    order = np.argsort(names, kind="stable")
+    rest, names = fp[order].view(np.uint64), names[order]
+    left, right = [], []
     if len(rest) <= 256 and np.count_nonzero(np.bitwise_count(rest[:, None] ^ rest) <= bits) == len(rest):
         rest = rest[:0]  # no links, as in most cells
-    queue: list[np.uint64] = []
+    queue: deque = deque()
     while len(rest):
         if queue:
-            at = queue.pop()
+            at, name = queue.popleft()
         else:
-            at, rest = rest[0], rest[1:]
+            at, name, rest, names = rest[0], names[0], rest[1:], names[1:]
         near = np.bitwise_count(rest ^ at) <= bits
         if near.any():
-            got = rest[near]
-            rest = rest[~near]
-            queue.extend(got)
-            left.append(np.full(len(got), at))
-            right.append(got)
+            got, found = rest[near], names[near]
+            rest, names = rest[~near], names[~near]
+            queue.extend(zip(got, found))
+            left.append(np.full(len(got), name, np.int64))
+            right.append(found)
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
+    return np.concatenate(left), np.concatenate(right)
 
 
-def _link(bits: int, block: int):
-    """Over rows sorted by group: the links of each group, or the group's name alone if it has more than ``block`` rows."""
+def _link(bits: int, block: int, dense: int = 0):
+    """Over rows sorted by group: the links of each group, or the group's name alone if it has more than ``block`` rows.
+
+    Groups of up to ``dense`` give all their links, larger ones a spanning forest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -141,8 +155,12 @@ def _link(bits: int, block: int):
             if held_n > block:
                 emit(1, np.array([held_key[0]]), np.array([held_n]))
             elif held_n > 1:
-                fp = np.unique(np.concatenate(held))
-                a, b = forest(fp, bits)
+                fp, names = np.concatenate(held, axis=1)
+                if held_n <= dense:
+                    i, j = np.nonzero(np.triu(np.bitwise_count(fp.view(np.uint64)[:, None] ^ fp.view(np.uint64)) <= bits, 1))
+                    a, b = names[i], names[j]
+                else:
+                    a, b = forest(fp, names, bits)
                 if len(a):
                     emit(0, a, b)
             held, held_n = [], 0
@@ -153,8 +171,10 @@ def _link(bits: int, block: int):
                 out.clear()
 
         for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False)
-            group = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "part")])
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            fp = column("fp")
+            names = column("id") if "id" in batch.schema.names else fp
+            group = np.stack([column("cell"), column("part")])
             if not len(fp):
                 continue
             starts = np.concatenate(([0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1))
@@ -166,14 +186,15 @@ def _link(bits: int, block: int):
             if len(two):
                 close_enough = np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= bits
                 if close_enough.any():
-                    emit(0, fp[two][close_enough], fp[two + 1][close_enough])
+                    emit(0, names[two][close_enough], names[two + 1][close_enough])
             for k in [0, *np.flatnonzero(inner & (sizes > 2)).tolist(), *([len(starts) - 1] if len(starts) > 1 else [])]:
                 key = tuple(group[:, starts[k]].tolist())
                 if key != held_key:
                     close()
                     held_key = key
                 if held_n <= block:
-                    held.append(fp[starts[k] : starts[k] + sizes[k]])
+                    part = slice(starts[k], starts[k] + sizes[k])
+                    held.append(np.stack([fp[part], names[part]]))
                 held_n += int(sizes[k])
                 if held_n > block:
                     held = []
@@ -184,22 +205,27 @@ def _link(bits: int, block: int):
     return run
 
 
-def links(nodes: DataFrame, bits: int = MAX_BITS, block: int = 100_000) -> DataFrame:
-    """(a, b): links that connect all fingerprints of ``nodes`` (distinct fp) at ``bits`` or fewer differing bits."""
+def links(nodes: DataFrame, bits: int = MAX_BITS, block: int = 100_000, dense: int = 0) -> DataFrame:
+    """(a, b): links that connect all fingerprints of ``nodes`` at ``bits`` or fewer differing bits.
+
+    ``nodes`` has distinct ``fp``, which then name the links; or fp, a ``space``
+    within which fingerprints are compared, and an ``id`` that names the links.
+    """
     if not 0 <= bits <= MAX_BITS:
         raise ValueError(f"the grid covers 0 to {MAX_BITS} differing bits")
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = nodes.select("fp").mapInArrow(_explode_cells, "cell long, fp long")
+    named = [c for c in ("space", "id") if c in nodes.columns]
+    spread = nodes.select("fp", *named).mapInArrow(_explode_cells, "cell long, fp long" + ", id long" * bool(named))
     grouped = spread.withColumn("part", F.lit(0)).repartition(parts, "cell").sortWithinPartitions("cell")
-    found = cut(grouped.mapInArrow(_link(bits, block), "kind int, a long, b long"), "links")
+    found = cut(grouped.mapInArrow(_link(bits, block, dense), "kind int, a long, b long"), "links")
     out = found.where("kind = 0").select("a", "b")
     large = found.where("kind = 1").select(F.col("a").alias("cell"), F.ceil(F.col("b") / F.lit(block // 2)).cast("int").alias("k"))
     if not large.isEmpty():
         # block i of a large cell meets each block j: parts are the pairs (i, j), i <= j, numbered i * k + j
         mine = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(F.col("i"), j) * F.col("k") + F.greatest(F.col("i"), j))
-        again = spread.join(large, "cell").withColumn("i", mine).select("cell", "fp", F.explode(pairs).alias("part"))
+        again = spread.join(large, "cell").withColumn("i", mine).withColumn("part", F.explode(pairs)).drop("k", "i")
         again = again.repartition(parts, "cell", "part").sortWithinPartitions("cell", "part")
         out = out.unionByName(again.mapInArrow(_link(bits, 1 << 62), "kind int, a long, b long").select("a", "b"))
     return out
@@ -231,10 +257,88 @@ def near_groups(docs: DataFrame | Rows, width: int = 4, bits: int = MAX_BITS, bl
     return found.select("doc_id", hexed.alias("fingerprint"), F.col("least.doc_id").alias("component_id"), (F.struct(*key) == F.struct(*[F.col(f"least.{k}").alias(k) for k in key])).alias("kept"), *key)
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each component, all columns as they were."""
+def word_fingerprints(text: str | None, spaces: int) -> list[int]:
+    """One fingerprint over a text's distinct words for each seed from SEED on."""
+    words = list(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
+    out = []
+    for seed in range(SEED, SEED + spaces):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(words), 1 << 16):
+            part = np.array([xxhash.xxh64_intdigest(w, seed) for w in words[at : at + (1 << 16)]], np.uint64)
+            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(words), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of a text's word shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = {xxhash.xxh32_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))} if words else set()
+    return np.sort(np.array(list(grams), np.uint32)).view(np.int32)
+
+
+def _spaces(spaces: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = pa.array([word_fingerprints(t, spaces) for t in texts], pa.list_(pa.int64()))
+            rest = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [found], names=[*rest, "fps"])
+
+    return run
+
+
+def _shingled(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingles(t, width) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), sets], names=["id", "s"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame | Rows, width: int = 5, similarity: float = 0.8, spaces: int = SPACES, dense: int = 64) -> DataFrame:
+    """One row per document: its key, component (a row number) and ``kept``, by the Jaccard similarity of word shingles.
+
+    Candidates have, for one of ``spaces`` seeds, fingerprints over their
+    distinct words at MAX_BITS or fewer differing bits; of these, pairs whose
+    sets of ``width``-word shingles have the similarity are linked, exactly.
+    A cell of more than ``dense`` members gives links to its first document,
+    then from document to document, instead of all pairs.  Candidates at the
+    very similarity are missed with a probability of about 0.05 with four
+    seeds, closer ones less.  Of a component the row with the smallest doc_id
+    stays, nulls last, then the first in the files.  Nulls and empty texts
+    are equal to each other; further columns are ignored.
+    """
+    given = Rows.of(docs)
+    key = list(given.key)
+    texts = given.pick(doc_id="long", text="string")
+    made = texts.mapInArrow(_spaces(spaces), "__file long, __row long, doc_id long, fps array<long>")
+    rows = cut(made.withColumn("id", F.monotonically_increasing_id()), "spaces")
+    each = rows.select("id", F.posexplode("fps").alias("space", "fp"))
+    # documents of equal fingerprints are candidates with the first of them, which speaks for them in the cells
+    first = cut(each.groupBy("space", "fp").agg(F.min("id").alias("first")), "nodes")
+    equal = each.join(first, ["space", "fp"]).where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    near = links(first.withColumnRenamed("first", "id"), MAX_BITS, dense=dense)
+    pairs = equal.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = cut(pairs, "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(rows.select("id", *key), "id")
+    sets = cut(texts.join(wanted, key).select("id", "text").mapInArrow(_shingled(width), "id long, s array<int>"), "shingles")
+    joined = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    union = F.size("sa") + F.size("sb") - shared
+    linked = joined.where((union == 0) | (shared >= similarity * union)).select("a", "b")
+    parts = connected_components(linked, "a", "b")
+    own = cut(rows.select("id", "doc_id", *key).join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "roots")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key)
+    least = own.groupBy("component").agg(F.min(order).alias("least"))
+    return own.join(least, "component").select(*key, "doc_id", "component", (F.struct(*key) == F.struct(*[f"least.{k}" for k in key])).alias("kept"), F.col("least.doc_id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near copies, all columns as they were."""
     rows = Rows.of(docs)
-    return rows.only(near_groups(rows, width, bits).where("kept"))
+    return rows.only(similar_groups(rows, width, similarity).where("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -501,3 +501,44 @@ def test_pipeline(spark, texts):
     scores = {r.doc_id: r.score for r in quality.query(spark, DIR).collect()}
     assert {r.doc_id for r in good.select("doc_id").collect()} == {i for i, s in scores.items() if s >= 0.3}
     assert {r.doc_id for r in rows} <= {i for i, s in scores.items() if s >= 0.3}
+
+
+def test_similar_groups(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(30):
+        words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(150)]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(g % 4):
+            near = list(words)
+            near[rng.randrange(150)] = "changed"
+            rows.append((len(rows), " ".join(near)))
+    rows += [(len(rows), None), (len(rows) + 1, " "), (None, "x y"), (1000, "x  y")]
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [frozenset(simhash.shingles(t, 5).tolist()) for _, t in rows]
+    ids = list(range(len(rows)))
+    near = lambda a, b: not (a | b) or len(a & b) >= 0.8 * len(a | b)
+    label = {i: i for i in ids}
+    for _ in range(5):
+        for i in ids:
+            for j in ids:
+                if near(sets[i], sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    first = {}
+    for i in ids:
+        first.setdefault(label[i], []).append(rows[i][0])
+    want = {i: min((x for x in first[label[k]] if x is not None), default=None) for k, i in enumerate(r[0] for r in rows)}
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert sum(r.kept for r in got) == len(first)
+
+
+def test_similar_groups_dense(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(120)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 300):
+        near = list(words)
+        near[rng.randrange(120)] = f"w{i}"
+        rows.append((i, " ".join(near)))
+    kept = [r.doc_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).where("kept").collect()]
+    assert kept == [0]
