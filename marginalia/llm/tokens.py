@@ -14,8 +14,8 @@ import os
 import numpy as np
 
 END_ID = 2
-#: Words kept by a worker: two generations of at most this many, about 200 bytes each.
-GENERATION = 400_000
+#: Words kept by a worker: two generations of at most this many, about 200 bytes each, 480 MB at most.
+GENERATION = 1_200_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
