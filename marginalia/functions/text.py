@@ -164,7 +164,7 @@ def coherent_units(c: Column) -> Column:
     """A text's units: its numbered items of 20 characters or more, each after what precedes the first; else the text."""
     value = F.trim(F.regexp_replace(c, "\r\n?", "\n"))
     parts = F.split(value, "(?im)(?=^[ \\t]*(?:(?:PC|ITEM|COMMENT|CORRECTION)[ \\t]*)?[0-9]{1,3}[ \\t]*[:.)-][ \\t]+)")
-    parts = F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(parts, lambda p: F.regexp_replace(p, "^\\s+|\\s+$", "")), lambda p: p != "")
     item = "(?is)^(?:(?:PC|ITEM|COMMENT|CORRECTION)\\s*)?[0-9]{1,3}\\s*[:.)-]\\s.*"
     items = F.filter(parts, lambda p: p.rlike(item))
     long = F.filter(items, lambda p: F.length(p) >= 20)

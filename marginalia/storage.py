@@ -7,6 +7,7 @@ are removed when the driver's JVM ends.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -23,14 +24,15 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared root, removed when the driver ends."""
+    """A fresh folder below the shared root, with its scheme, removed when the driver ends."""
     path = f"{shared_root(spark)}/marginalia/{label}-{uuid.uuid4().hex[:12]}"
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(hpath)
     fs.deleteOnExit(hpath)
-    return path
+    whole = fs.makeQualified(hpath).toString()
+    return re.sub("^file:/(?!/)", "file:///", whole)
 
 
 def forget_at_exit(spark: SparkSession, path: str) -> None:
