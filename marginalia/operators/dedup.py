@@ -64,9 +64,10 @@ def near_pairs(df: DataFrame, block: list[str], least: float = 0.9) -> DataFrame
     prefix = sized.where(F.col("k") <= F.col("n") - F.ceil(F.lit(S.LENGTH_RATIO * least) * F.col("n")) + 1)
     a, b = prefix.select(*block, "w", F.col("comment_id").alias("left")), prefix.select(*block, "w", F.col("comment_id").alias("right"))
     pairs = cut(a.join(b, [*block, "w"]).where("left < right").select("left", "right").distinct(), "pairs")
-    one = lambda side: base.select(F.col("comment_id").alias(side), F.col("normal").alias(f"{side}_text"))
-    joined = pairs.join(one("left"), "left").join(one("right"), "right").withColumn("signals", S.signals(F.col("left_text"), F.col("right_text")))
-    kept = cut(joined.where((F.col("signals.containment") >= least) & (F.col("signals.length_ratio") >= S.LENGTH_RATIO)), "survivors")
+    full = cut(base.join(S.bags(base, ["comment_id"], S.words(F.col("normal"))), "comment_id"), "bags")
+    one = lambda side: full.select(F.col("comment_id").alias(side), F.col("normal").alias(f"{side}_text"), F.col("bag").alias(f"{side}_bag"))
+    joined = pairs.join(one("left"), "left").join(one("right"), "right").withColumn("signals", S.bag_signals(F.col("left_bag"), F.col("right_bag")))
+    kept = cut(joined.drop("left_bag", "right_bag").where((F.col("signals.containment") >= least) & (F.col("signals.length_ratio") >= S.LENGTH_RATIO)), "survivors")
     kept = kept.withColumn("sequence", S.sequence_ratio("left_text", "right_text"))
     return kept.withColumn("match", S.match_class(F.col("left_text"), F.col("right_text"), F.col("signals"), F.col("sequence"))).select("left", "right", "signals", "sequence", "match")
 
