@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from marginalia.operators import aggregate, dedup, retrieval, sets, textops, timeline, trust
+from marginalia.operators import aggregate, dedup, evidence, retrieval, sets, textops, timeline, trust
 from marginalia.plans import analysis
 from marginalia.sources import files
 from marginalia.streaming import ledger
 
 FLAGSHIP = "overview"
 
-_MODULES = (aggregate, trust, textops, dedup, timeline, retrieval, sets, analysis, files, ledger)
+_MODULES = (aggregate, trust, textops, dedup, timeline, evidence, retrieval, sets, analysis, files, ledger)
 
 
 def queries() -> dict:

@@ -65,15 +65,33 @@ def tag_slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+# What a response says was done, in the order of the tests.
+RESPONSE_RULES = [
+    ("Specific drawing or document revision", "\\b(?:sheet|detail|page|drawing|plan set|calculation|report|schedule)\\b"),
+    ("Separate supporting submittal", "\\b(?:permit|application|submitt(?:ed|al)|upload(?:ed)?)\\b"),
+    ("Design changed to remove the conflict", "\\b(?:removed|deleted|relocated|redesigned|reconfigured|replaced)\\b"),
+    ("Requested information or feature added", "\\b(?:added|provided|installed|included|shown|labeled|labelled|identified)\\b"),
+    ("Acknowledged without a traceable revision", "^[\\s\\W]*(?:noted|acknowledged|ok|will comply)[\\s\\W]*$"),
+]
+OTHER_RESPONSE = "Recorded applicant response"
+CONCRETE = "\\b(?:sheet|page|detail|plan|drawing|calculation|revision|revised|updated|added|replaced|removed|installed|provided|dimension|elevation|schedule)\\b"
+CLOSED = "\\b(?:resolved|complete|completed|approved|addressed|satisfied|no further comments|closed)\\b"
+
+
 def response_pattern(c: Column) -> Column:
-    """What a response says was done."""
-    t = F.lower(collapse(F.coalesce(c, F.lit(""))))
-    rules = [("revised_documents", "revis|updat|correct"), ("provided_information", "provid|attach|submit|includ"), ("added_note", "note added|added a note|see note"), ("reference", "see sheet|refer to|see page|see detail"), ("acknowledged", "acknowledg|noted|understood"), ("deferred", "defer|later submittal|separate permit")]
-    out = F.when(t == "", "none")
-    for name, words in rules:
+    """The class of action that a response records."""
+    t = F.lower(F.coalesce(c, F.lit("")))
+    out = F.when(F.lit(False), "")
+    for name, words in RESPONSE_RULES:
         out = out.when(t.rlike(words), name)
-    return out.otherwise("other")
+    return out.otherwise(OTHER_RESPONSE)
 
 
 def support_level(projects: Column, events: Column) -> Column:
-    return F.when(projects >= 2, "cross_project").when(events >= 2, "multiple").when(projects == 1, "single_project").otherwise("single")
+    return F.when(projects > 1, "cross_project").when((events > 1) & (projects > 0), "single_project").when(events > 1, "multiple_records").otherwise("single_record")
+
+
+def evidence_level(response: Column, later: Column) -> Column:
+    """1 no response, 2 a response, 3 one that names a revision, 4 a later record that closes the issue."""
+    none = response.isNull() | (F.trim(response) == "")
+    return F.when(none, 1).when(F.lower(F.coalesce(later, F.lit(""))).rlike(CLOSED), 4).when(F.lower(response).rlike(CONCRETE), 3).otherwise(2)
