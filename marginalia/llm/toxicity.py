@@ -1,8 +1,8 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic model over the distinct words of a text.  Its vocabulary is the
-words that tell the classes apart most in the labelled sample, and all identity
-terms.  Every labelled text that names a group is written again with other
+words that tell the classes apart most in the labelled sample, counted by their
+different neighbours, and all identity terms.  Every labelled text that names a group is written again with other
 groups named; the square of the change in its logit is a penalty beside the
 usual loss, so naming one group or another shall not move the score.
 """
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.sampling import FIT_ROWS, fold, labelled
@@ -23,7 +23,7 @@ from marginalia.storage import pick
 THRESHOLD = 0.5
 #: Bounds of what is learnt: words of the vocabulary, and texts a word must be in.
 WORDS, LEAST_TEXTS, LEAST_G2 = 4096, 4, 12.0
-L2, PAIRING, STEPS, RATE = 2e-4, 1.0, 400, 0.1
+L2, PAIRING, STEPS, RATE = 2e-5, 1.0, 600, 0.1
 WORD = re.compile(r"[^\W_]+")
 
 # Identity terms by kind; terms of a kind are swapped for one another.
@@ -120,6 +120,25 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([y] * len(found), pa.int32()), pa.array(found)], names=["y", "word"])
 
 
+def _contexts(candidates: set[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = set()
+            for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+                words = ["", *WORD.findall((text or "").lower()), ""]
+                rows.update((y, w, f"{words[i]} {words[i + 2]}") for i, w in enumerate(words[1:-1]) if w in candidates)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*sorted(rows)), (pa.int32(), pa.string(), pa.string()))], names=["y", "word", "context"])
+
+    return run
+
+
+def keyness(a: Column, b: Column, toxic: float, clean: float) -> Column:
+    """Log-likelihood ratio of a word met ``a`` times of ``toxic`` and ``b`` times of ``clean``."""
+    share = lambda x, n: F.when((x > 0) & F.lit(n > 0), x * F.log(x * (toxic + clean) / (F.lit(float(max(n, 1))) * (a + b)))).otherwise(0.0)
+    return 2 * (share(a, toxic) + share(b, clean))
+
+
 def _known(vocabulary: list[str]):
     known = set(vocabulary)
 
@@ -140,11 +159,13 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Model:
     sample = labelled(docs, labels, "toxic", limit).select("y", "text").persist()
     try:
         total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-        clean = total - toxic
-        counts = sample.mapInArrow(_words, "y int, word string").groupBy("word").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-        share = lambda x, n: F.when(F.lit(n) > 0, F.when(x > 0, x * F.log(x * max(total, 1) / (F.lit(float(max(n, 1))) * (F.col("a") + F.col("b"))))).otherwise(0.0)).otherwise(0.0)
-        g2 = 2 * (share(F.col("a"), toxic) + share(F.col("b"), clean))
-        best = counts.where(F.col("a") + F.col("b") >= LEAST_TEXTS).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
+        sums = (F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
+        often = F.col("a") + F.col("b") >= LEAST_TEXTS
+        texts = sample.mapInArrow(_words, "y int, word string").groupBy("word").agg(*sums).where(often).withColumn("g2", keyness(F.col("a"), F.col("b"), toxic, total - toxic))
+        candidates = {r[0] for r in texts.where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "word").limit(4 * WORDS).select("word").collect()}
+        # copies of one text make all its words look telling: what counts is how many different neighbours a word has
+        met = sample.mapInArrow(_contexts(candidates), "y int, word string, context string").distinct().groupBy("word").agg(*sums)
+        best = met.where(often).withColumn("g2", keyness(F.col("a"), F.col("b"), toxic, total - toxic)).where((F.col("g2") >= LEAST_G2) & (F.col("a") * (total - toxic) > F.col("b") * toxic))
         chosen = {r[0] for r in best.orderBy(F.desc("g2"), "word").limit(WORDS).select("word").collect()}
         vocabulary = sorted(chosen | SWAPS.keys())
         rows = [(float(r[0]), set(r[1])) for r in sample.mapInArrow(_known(vocabulary), "y int, words array<string>").collect()]
