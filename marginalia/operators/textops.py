@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.functions import identity as I
+from marginalia.functions import labels as L
 from marginalia.functions import similarity as S
 from marginalia.functions import taxonomy as C
 from marginalia.functions import text as X
@@ -65,6 +66,26 @@ QUERIES = {
         None,
     ),
     "titles": (lambda s, d: records(s, d).select("comment_id", X.recurring_title(F.col("text")).alias("title")), None),
+    "readable_texts": (
+        lambda s, d: records(s, d).select("comment_id", F.sha2(L.readable(F.col("text")), 256).alias("shown")),
+        sql("SELECT comment_id, sha256(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(text, '_x000[DA]_|[\\r\\n\\t\\x{00a0}]', ' ', 'g'), '\\s+', ' ', 'g')), '^(?i:(?:response\\s*[_:-]\\s*)+)', ''), '\\s+([,.;:!?])', '\\1', 'g')) AS shown FROM records"),
+    ),
+    "excerpts": (
+        lambda s, d: records(s, d).select("comment_id", L.excerpt(F.col("text"), 200).alias("e")).select("comment_id", "e.text", "e.complete"),
+        None,
+    ),
+    "submission_labels": (
+        lambda s, d: table(s, d, "part").select("p_partkey", L.submission_label(F.concat(F.lit("set "), F.col("p_partkey") % 130, F.lit("th submission.pdf"))).alias("label"), L.normalized_identifier(F.concat("p_size", F.lit(".0"))).alias("id")),
+        "SELECT p_partkey, k || CASE WHEN k % 100 BETWEEN 10 AND 20 THEN 'th' WHEN k % 10 = 1 THEN 'st' WHEN k % 10 = 2 THEN 'nd' WHEN k % 10 = 3 THEN 'rd' ELSE 'th' END || ' submission' AS label, CAST(p_size AS VARCHAR) AS id FROM (SELECT *, p_partkey % 130 AS k FROM part)",
+    ),
+    "filename_dates": (
+        lambda s, d: table(s, d, "orders").select("o_orderkey", L.filename_date(F.concat(F.lit("RS_"), F.date_format("o_orderdate", "MM-dd-yyyy"), F.lit("_2024_01_02.xlsx"))).cast("string").alias("date")),
+        "SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '2024-01-02' END AS date FROM orders",
+    ),
+    "event_fingerprints": (
+        lambda s, d: records(s, d).select("comment_id", F.sha2(L.fingerprint(F.col("city"), F.lit("reviewer_comment"), F.lit(None), F.col("issue_id"), F.col("review_round"), F.lit(None), X.normalize_event_text("text")), 256).alias("fingerprint")),
+        None,
+    ),
     "cell_ranges": (
         lambda s, d: table(s, d, "lineitem").select("l_linenumber", F.pmod("l_partkey", F.lit(700)).alias("c")).distinct().select("l_linenumber", "c", X.parse_cell_range(F.concat(X.column_letters(F.col("c") + 1), F.col("l_linenumber"))).alias("r")).select("l_linenumber", "c", F.col("r.first_row").alias("row"), F.col("r.first_column").alias("col")),
         "SELECT DISTINCT l_linenumber, l_partkey % 700 AS c, l_linenumber AS row, CAST(l_partkey % 700 + 1 AS INT) AS col FROM lineitem",
