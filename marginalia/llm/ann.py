@@ -33,7 +33,7 @@ K = 10
 SAMPLE_ROWS, SAMPLE_FLOATS, CENTROIDS = 65_536, 1 << 23, 16_384
 #: Vectors a list shall have about, and most of a list that one task reads.
 LIST_MEAN, LIST_ROWS = 96, 8192
-REPLICAS, BOUNDARY, RATIO = 8, 1.12, 1.5
+REPLICAS, BOUNDARY, RATIO = 8, 1.08, 1.5
 BEAM, DEGREE = 64, 24
 
 
@@ -117,7 +117,8 @@ class Graph:
             twice = np.zeros_like(fresh)
             np.put_along_axis(twice, first[:, 1:], ordered[:, 1:] == ordered[:, :-1], 1)
             fresh &= ~twice
-            seen[rows, there] |= fresh
+            row, k = np.nonzero(fresh)
+            seen[row, there[row, k]] = True
             d = np.where(fresh, ((x[:, None, :] - self.c[there]) ** 2).sum(2), np.inf)
             ids, dist, open_ = self._best(np.concatenate([ids, there], 1), np.concatenate([dist, d], 1), np.concatenate([open_, fresh], 1), beam)
         order = np.argsort(dist, axis=1, kind="stable")

@@ -156,7 +156,7 @@ def test_ann_large_graph():
     ids, dist = ann.Graph(c).search(x)
     true = ((x[:, None] - c) ** 2).sum(2).argsort(axis=1)[:, :10]
     assert np.mean([len(set(a[:20]) & set(b)) / 10 for a, b in zip(ids, true)]) > 0.9
-    assert (np.diff(dist, axis=1) >= 0).all()
+    assert (np.diff(dist, axis=1) >= 0).all() and all(len(set(a)) == len(a) for a in ids.tolist())
 
 
 def test_ann_odd(spark):
