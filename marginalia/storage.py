@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.shipping import ship
+
 #: Used only where the session names no folder, as in tests on one machine.
 LOCAL_ROOT = "file:///tmp/checkpoints"
 
@@ -25,6 +27,7 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared root, with its scheme, removed when the driver ends."""
+    ship(spark)
     path = f"{shared_root(spark)}/marginalia/{label}-{uuid.uuid4().hex[:12]}"
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -59,6 +62,7 @@ def pick(df: DataFrame, *keep: Column, **columns: str) -> DataFrame:
     Works by position, so further columns with equal names, or names that
     differ in case only, do no harm: the first exact match is taken.
     """
+    ship(df.sparkSession)
     names = df.columns
     flat = df.toDF(*[f"__c{i}" for i in range(len(names))])
     out = []
@@ -81,6 +85,7 @@ class Rows:
     key = ("__file", "__row")
 
     def __init__(self, df: DataFrame):
+        ship(df.sparkSession)
         self.names = df.columns
         plain = [f"__c{i}" for i in range(len(self.names))]
         place = [F.xxhash64(F.col("_metadata.file_path")).alias("__file"), F.col("_metadata.row_index").alias("__row")]
