@@ -14,7 +14,7 @@ from marginalia.functions import text as X
 from marginalia.plans.records import records, sql, table
 
 WEIGHTS = {"semantic": 0.55, "keyword": 0.20, "city": 0.10, "discipline": 0.05, "code": 0.05, "accepted": 0.05}
-QUERY = "the annual notice of other erations"
+QUERY = "de la der die"
 
 
 def query_tokens(query: str, pattern: str = X.PLAIN_TOKEN) -> list[str]:
@@ -178,8 +178,8 @@ QUERIES = {
     "tfidf_search": (lambda s, d: tfidf(records(s, d), QUERY), _tfidf_sql()),
     "hybrid_search": (lambda s, d: hybrid(records(s, d), QUERY), None),
     "keyword_search": (
-        lambda s, d: keyword_ids(records(s, d), "nations and entries"),
-        sql("SELECT comment_id FROM records WHERE list_contains(roots, 'nation') AND list_contains(roots, 'entry')").replace("FROM records WHERE", "FROM (SELECT *, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+(?:-[a-z0-9]+)?'), lambda w: CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN w[:-4] || 'y' WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END) AS roots FROM records) WHERE"),
+        lambda s, d: keyword_ids(records(s, d), "de la"),
+        sql("SELECT comment_id FROM records WHERE list_contains(roots, 'de') AND list_contains(roots, 'la')").replace("FROM records WHERE", "FROM (SELECT *, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+(?:-[a-z0-9]+)?'), lambda w: CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN w[:-4] || 'y' WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END) AS roots FROM records) WHERE"),
     ),
     "tag_index": (lambda s, d: tag_index(records(s, d)).groupBy("tag").agg(F.count("*").alias("events")), None),
     "staged_retrieval": (lambda s, d: progressive(records(s, d), tag_index(records(s, d)), "city_src1", s.createDataFrame([("city_src1", "city_src2")], "tag string, other string"), 5), None),
