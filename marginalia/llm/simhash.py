@@ -30,13 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators.components import connected_components
-from marginalia.storage import Rows, cut
+from marginalia.storage import Rows, cut, empty, new_folder, remove_folder
 
 SEED = 42
 #: Differing bits that the two-band grid of ``cells`` covers.
 MAX_BITS = 4
-#: Seeds whose fingerprints over distinct words find candidates for ``similar_groups``.
-SPACES = 4
 PAIRS = np.uint64(0x5555555555555555)
 
 
@@ -257,19 +255,6 @@ def near_groups(docs: DataFrame | Rows, width: int = 4, bits: int = MAX_BITS, bl
     return found.select("doc_id", hexed.alias("fingerprint"), F.col("least.doc_id").alias("component_id"), (F.struct(*key) == F.struct(*[F.col(f"least.{k}").alias(k) for k in key])).alias("kept"), *key)
 
 
-def word_fingerprints(text: str | None, spaces: int) -> list[int]:
-    """One fingerprint over a text's distinct words for each seed from SEED on."""
-    words = list(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
-    out = []
-    for seed in range(SEED, SEED + spaces):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(words), 1 << 16):
-            part = np.array([xxhash.xxh64_intdigest(w, seed) for w in words[at : at + (1 << 16)]], np.uint64)
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(counts * 2 > len(words), bitorder="little").view(np.int64)[0]))
-    return out
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 32-bit hashes of a text's word shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -277,59 +262,135 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.sort(np.array(list(grams), np.uint32)).view(np.int32)
 
 
-def _spaces(spaces: int):
+def _shingled(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = pa.array([word_fingerprints(t, spaces) for t in texts], pa.list_(pa.int64()))
-            rest = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [found], names=[*rest, "fps"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
+                digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                rest = [c for c in batch.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], digests, pa.array(sets, pa.list_(pa.int32()))], names=[*rest, "digest", "s"])
 
     return run
 
 
-def _shingled(width: int):
+def prefixes(s: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The shingles of a set that any similar set shares one of, rarest first, and how many of them lead.
+
+    ``common`` has the frequent shingles, sorted, and ``ranks`` their places from
+    1 on, most frequent last; all others come before them by value.  Sets x and
+    y, x not the larger, of Jaccard similarity t have t * |y| and
+    2 * t / (1 + t) * |x| shingles in common at least.  So the first that they
+    share is among the first |y| - t * |y| + 1 of y and the first
+    |x| - 2 * t / (1 + t) * |x| + 1 of x, which lead.
+    """
+    n = len(s)
+    least = lambda share: n - int(np.ceil(share * n - 1e-9)) + 1
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        rank = np.where(common[at] == s, ranks[at], 0)
+    return s[np.lexsort((s, rank))[: min(n, least(similarity))]], least(2 * similarity / (1 + similarity))
+
+
+def _prefixed(common: np.ndarray, similarity: float):
+    ranks = np.argsort(common, kind="stable") + 1
+    common = np.sort(common)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([shingles(t, width) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), sets], names=["id", "s"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                w, sizes, leads, ns = [np.empty(0, np.int32)], [], [np.empty(0, bool)], []
+                for x in batch.column("s"):
+                    s = x.values.to_numpy(zero_copy_only=False)
+                    found, lead = prefixes(s, common, ranks, similarity) if len(s) else (s, 0)
+                    w.append(found)
+                    leads.append(np.arange(len(found)) < lead)
+                    sizes.append(len(found))
+                    ns.append(len(s))
+                each = lambda v: pa.array(np.repeat(v, sizes))  # noqa: B023, E731
+                ids = batch.column("id").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(w)), each(ids), each(np.array(ns, np.int32)), pa.array(np.concatenate(leads))], names=["w", "id", "n", "lead"])
 
     return run
 
 
-def similar_groups(docs: DataFrame | Rows, width: int = 5, similarity: float = 0.8, spaces: int = SPACES, dense: int = 64) -> DataFrame:
+def _common(rows: DataFrame, sample: int = 8192, most: int = 32768) -> np.ndarray:
+    """Shingles met three times or more in a sample, most frequent last: only an order, on which no result depends."""
+    share = min(1.0, sample / max(1, rows.count()))
+    seen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.explode("s").alias("w"))
+    found = seen.groupBy("w").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "w").limit(most)
+    return np.array([r.w for r in found.collect()][::-1], np.int32)
+
+
+def similar_links(rows: DataFrame, copies: DataFrame, similarity: float, dense: int = 64, rounds: int = 6) -> DataFrame:
+    """(a, b): links with the components of the graph of all pairs of sets ``s`` (named ``id``, all but ``copies`` distinct) that have the similarity.
+
+    Pairs that share a prefix shingle are the candidates, and lose none.  Of
+    the sets with one shingle all are compared with the first.  Those similar
+    to it are of its component; they need no more tests with each other, nor
+    with a set so far from it that, by the triangle inequality of the Jaccard
+    distance, they can't be similar to that.  The rest goes on to the next
+    round, by all pairs where it has ``dense`` sets or fewer, or none of the
+    ``rounds`` is left.
+    """
+    every = empty(rows.sparkSession, "a long, b long")
+    at = new_folder(rows.sparkSession, "near")
+    put = lambda df, name: cut(df, name, f"{at}/{name}-{k}")
+    k = 0
+    held = put(rows.join(copies, "id", "left_anti").select("id", "s").mapInArrow(_prefixed(_common(rows), similarity), "w int, id long, n int, lead boolean"), "prefixes")
+    for k in range(rounds + 1):
+        tops = held.groupBy("w").agg(F.count("*").alias("m"), F.min(F.when(F.col("lead"), F.struct("id", "n"))).alias("root")).where("m > 1 and root is not null")
+        star = put(held.join(tops, "w"), "stars")
+        if star.isEmpty():
+            break
+        ratio = lambda x, y: F.least(x, y) / F.greatest(x, y)
+        last = F.lit(k == rounds) | ((F.col("m") <= dense) & F.lit(k > 0))
+        few = star.where(last)
+        star = star.where(~last & (F.col("id") != F.col("root.id"))).withColumn("a", F.least("id", "root.id")).withColumn("b", F.greatest("id", "root.id"))
+        star = star.withColumn("most", ratio(F.col("n"), F.col("root.n")))
+        pairs = star.where(F.col("most") >= similarity).select("a", "b")
+        if k:
+            x, y = few.select("w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("lead").alias("la")), few.select("w", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("lead").alias("lb"))
+            both = x.join(y, "w").where("a < b and ((na <= nb and la) or (nb <= na and lb))").where(ratio(F.col("na"), F.col("nb")) >= similarity)
+            pairs = pairs.unionByName(both.select("a", "b"))
+        pairs = put(pairs.distinct(), "candidates")
+        sets = put(rows.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "s"), "shingles")
+        joined = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        scored = cut(joined.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("found")), "scored")
+        every = every.unionByName(scored.where(F.col("found") >= similarity).select("a", "b"))
+        judged = star.join(scored, ["a", "b"], "left").select("w", "id", "n", "lead", F.coalesce("found", "most").alias("found"))
+        judged = put(judged, "judged")
+        failed = judged.where(F.col("found") < similarity).groupBy("w").agg(F.max("found").alias("nearest"))
+        held = judged.join(failed, "w").where((F.col("found") < similarity) | (F.col("found") <= F.col("nearest") + (1 - similarity + 1e-9))).select("w", "id", "n", "lead")
+        held = cut(held, "untested")
+        for name in ("prefixes", "stars", "candidates", "shingles", "judged"):
+            remove_folder(rows.sparkSession, f"{at}/{name}-{k}")
+    return every
+
+
+def similar_groups(docs: DataFrame | Rows, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per document: its key, component (a row number) and ``kept``, by the Jaccard similarity of word shingles.
 
-    Candidates have, for one of ``spaces`` seeds, fingerprints over their
-    distinct words at MAX_BITS or fewer differing bits; of these, pairs whose
-    sets of ``width``-word shingles have the similarity are linked, exactly.
-    A cell of more than ``dense`` members gives links to its first document,
-    then from document to document, instead of all pairs.  Candidates at the
-    very similarity are missed with a probability of about 0.05 with four
-    seeds, closer ones less.  Of a component the row with the smallest doc_id
+    Documents whose sets of ``width``-word shingles have the similarity are
+    linked; no pair is missed, see ``similar_links``.  Documents of equal sets
+    are one from the start.  Of a component the row with the smallest doc_id
     stays, nulls last, then the first in the files.  Nulls and empty texts
     are equal to each other; further columns are ignored.
     """
     given = Rows.of(docs)
     key = list(given.key)
-    texts = given.pick(doc_id="long", text="string")
-    made = texts.mapInArrow(_spaces(spaces), "__file long, __row long, doc_id long, fps array<long>")
-    rows = cut(made.withColumn("id", F.monotonically_increasing_id()), "spaces")
-    each = rows.select("id", F.posexplode("fps").alias("space", "fp"))
-    # documents of equal fingerprints are candidates with the first of them, which speaks for them in the cells
-    first = cut(each.groupBy("space", "fp").agg(F.min("id").alias("first")), "nodes")
-    equal = each.join(first, ["space", "fp"]).where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    near = links(first.withColumnRenamed("first", "id"), MAX_BITS, dense=dense)
-    pairs = equal.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut(pairs, "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(rows.select("id", *key), "id")
-    sets = cut(texts.join(wanted, key).select("id", "text").mapInArrow(_shingled(width), "id long, s array<int>"), "shingles")
-    joined = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - shared
-    linked = joined.where((union == 0) | (shared >= similarity * union)).select("a", "b")
+    made = given.pick(doc_id="long", text="string").mapInArrow(_shingled(width), "__file long, __row long, doc_id long, digest binary, s array<int>")
+    rows = cut(made.withColumn("id", F.monotonically_increasing_id()), "sets")
+    first = cut(rows.groupBy("digest").agg(F.min("id").alias("first")), "nodes")
+    copies = cut(rows.select("id", "digest").join(first, "digest").where("id <> first").select("id"), "copies")
+    linked = similar_links(rows.select("id", "s"), copies, similarity)
     parts = connected_components(linked, "a", "b")
-    own = cut(rows.select("id", "doc_id", *key).join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "roots")
+    nodes = cut(first.join(parts, F.col("first") == F.col("node"), "left").select("digest", F.coalesce("component", "first").alias("component")), "classes")
+    own = cut(rows.select("digest", "doc_id", *key).join(nodes, "digest"), "roots")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key)
     least = own.groupBy("component").agg(F.min(order).alias("least"))
     return own.join(least, "component").select(*key, "doc_id", "component", (F.struct(*key) == F.struct(*[f"least.{k}" for k in key])).alias("kept"), F.col("least.doc_id").alias("component_id"))

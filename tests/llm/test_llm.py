@@ -542,3 +542,55 @@ def test_similar_groups_dense(spark):
         rows.append((i, " ".join(near)))
     kept = [r.doc_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).where("kept").collect()]
     assert kept == [0]
+
+
+def near_components(rows):
+    """component_id of each row by comparing all pairs of shingle sets."""
+    sets = [frozenset(simhash.shingles(t, 5).tolist()) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for j in range(len(rows)):
+        for i in range(j):
+            if not (sets[i] | sets[j]) or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    return {rows[i][0]: rows[root(i)][0] for i in range(len(rows))}
+
+
+def got_components(spark, rows):
+    return {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def made_words(rng, n):
+    return ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(3)
+    for n in list(range(1, 40)) + [200, 999]:
+        common = rng.permutation(3 * n)[:n].astype(np.int32)
+        ranks, order = np.argsort(common, kind="stable") + 1, np.sort(common)
+        for _ in range(20):
+            whole = rng.permutation(3 * n)[: n + n // 4].astype(np.int32)
+            a, b = np.sort(whole[:n]), np.sort(rng.permutation(whole)[: rng.integers(n, len(whole) + 1)])
+            if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+                (x, lead), (y, _) = (simhash.prefixes(s, order, ranks, 0.8) for s in sorted((a, b), key=len))
+                assert set(x[:lead].tolist()) & set(y.tolist())
+
+
+def test_similar_groups_appended_and_cut(spark):
+    rng, rows = random.Random(10), []
+    for g in range(60):
+        words = made_words(rng, 50 + 5 * g)
+        n = int((len(words) - 4) * 0.22)
+        middle = len(words) // 2
+        for near in (words, words + made_words(rng, n), words[: len(words) - n * 4 // 5 + 1], words[:middle] + made_words(rng, n // 2) + words[middle:], words[:20]):
+            rows.append((len(rows), " ".join(near)))
+    want = near_components(rows)
+    assert sum(want[i] != i for i in want) > 100
+    assert got_components(spark, rows) == want
