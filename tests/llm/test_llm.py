@@ -594,3 +594,15 @@ def test_similar_groups_appended_and_cut(spark):
     want = near_components(rows)
     assert sum(want[i] != i for i in want) > 100
     assert got_components(spark, rows) == want
+
+
+def test_similar_groups_of_shuffled_words(spark):
+    rng, rows = random.Random(11), []
+    for g in range(20):
+        words = made_words(rng, 100)
+        shuffled = rng.sample(words, len(words))
+        for near in (shuffled, words, [*words[:50], words[3], *words[51:]], rng.sample(words, len(words)), shuffled[1:] + shuffled[:1]):
+            rows.append((len(rows), " ".join(near)))
+    want = near_components(rows)
+    assert all(want[5 * g + 2] == 5 * g + 1 for g in range(20))
+    assert got_components(spark, rows) == want
