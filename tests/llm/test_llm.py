@@ -606,3 +606,26 @@ def test_similar_groups_of_shuffled_words(spark):
     want = near_components(rows)
     assert all(want[5 * g + 2] == 5 * g + 1 for g in range(20))
     assert got_components(spark, rows) == want
+
+
+def test_similar_groups_large_cells(spark):
+    # all documents have 84 of 100 words in common with the first; few are near copies of one another
+    rng, words = random.Random(13), made_words(random.Random(12), 100)
+    rows = [(0, " ".join(words))]
+    for i in range(1, 240, 2):
+        own = words[:84] + made_words(rng, 16)
+        rows += [(i, " ".join(own)), (i + 1, " ".join([*own[:-1], "other"]))]
+    rows += [(300 + i, " ".join([*words[:80], *made_words(rng, 20)])) for i in range(60)]
+    rows += [(400 + i, " ".join(words[:j] + ["x"] + words[j + 1 :])) for i, j in enumerate(range(5, 95))]
+    want = near_components(rows)
+    assert len(set(want.values())) > 100
+    assert got_components(spark, rows) == want
+
+
+def test_similar_groups_in_a_cell_of_shuffled_words(spark):
+    rng, rows = random.Random(14), []
+    words = made_words(rng, 100)
+    for i in range(100):
+        own = rng.sample(words, len(words))
+        rows += [(2 * i, " ".join([f"a{i}", *own[1:]])), (2 * i + 1, " ".join([*own[:-1], f"b{i}"]))]
+    assert got_components(spark, rows) == {i: i - i % 2 for i in range(200)}
