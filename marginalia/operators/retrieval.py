@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import similarity as S
 from marginalia.functions import text as X
 from marginalia.plans.records import records, sql, table
+from marginalia.storage import cut
 
 WEIGHTS = {"semantic": 0.55, "keyword": 0.20, "city": 0.10, "discipline": 0.05, "code": 0.05, "accepted": 0.05}
 QUERY = "de la der die"
@@ -120,15 +121,20 @@ def progressive(df: DataFrame, index: DataFrame, tag: str, related: DataFrame, e
     return df.select(F.col("comment_id").alias("event_id")).withColumn("stage", F.lit(3))
 
 
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Cosine of each query with every vector, the best k; the queries are few and their number is checked."""
-    n = queries.count()
-    if n > 1000:
-        raise ValueError("stated query sets of at most 1000 vectors")
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    scored = vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(S.cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 500) -> DataFrame:
+    """Cosine of each query with every vector, the best k; queries go in blocks of about ``block``, each broadcast by itself."""
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    found = None
+    for i in range(blocks):
+        q = F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked)
+        scored = vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(S.cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
+        best = scored.withColumn("place", place).where(F.col("place") <= k)
+        if blocks > 1:
+            best = cut(best, "nearest")
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def evaluate(results: DataFrame, expected: DataFrame) -> DataFrame:
@@ -142,7 +148,7 @@ def evaluate(results: DataFrame, expected: DataFrame) -> DataFrame:
 
 def _evaluate_vectors(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    asked = v.where("vec_id < 50")
+    asked = v.where("vec_id % 20 = 0")
     found = nearest_vectors(v, asked, 10).select(F.col("query_id").alias("case"), F.col("vec_id").alias("id"), F.col("place").alias("rank"))
     label = v.select(F.col("vec_id").alias("id"), "label")
     wanted = asked.select(F.col("vec_id").alias("case"), F.col("label")).join(label, "label").where("case <> id").select("case", "id")

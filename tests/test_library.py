@@ -224,3 +224,21 @@ def test_entry_without_llm(spark, monkeypatch):
     assert e.entry(spark).count() == 20
     monkeypatch.setattr(e, "_llm", lambda: ({}, {}))
     assert "overview" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_nearest_vectors_in_blocks(spark):
+    rows = [(i, [float(i % 7), float(i % 11), 1.0]) for i in range(1100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = retrieval.nearest_vectors(df, df, 2).collect()
+    assert len(got) == 2 * len(rows) and len({r.query_id for r in got}) == len(rows)
+    some = df.where("vec_id % 20 = 0")
+    whole = {tuple(r) for r in retrieval.nearest_vectors(df, some, 3).collect()}
+    assert whole == {tuple(r) for r in retrieval.nearest_vectors(df, some, 3, block=10).collect()} and len(whole) == 3 * 55
+
+
+def test_search_evaluation_asks_every_twentieth(spark, monkeypatch):
+    asked = []
+    true = retrieval.nearest_vectors
+    monkeypatch.setattr(retrieval, "nearest_vectors", lambda v, q, k: asked.extend(r.vec_id for r in q.select("vec_id").collect()) or true(v, q, k))
+    retrieval.QUERIES["search_evaluation"][0](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(asked) == sorted(r.vec_id for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 20 = 0").collect())
