@@ -4,14 +4,18 @@ A turn is rendered as ``### role``, a newline, the text, ``</turn>`` and a
 newline.  Inside roles and texts a backslash goes before every backslash and
 every control string, so a rendering can be read back exactly.
 
-Each assistant turn is an example: all turns before it are its context, its own
-text alone is under the loss mask.  Examples of a conversation share their
-prefix, so the output holds each turn once, with the place of the example it
-closes: the example's text is the conversation's rendering up to ``text_end``.
-That keeps the output as long as its input; ``expand`` writes the examples out
-in full, whose length grows with the square of a conversation's.
+Each assistant turn is exploded into an example of its own: all turns before it
+are its context, its own text alone is under the loss mask.  The output is two
+tables.  ``turns`` holds each rendered turn once; ``examples`` has a row per
+assistant turn with its context's turns and end, its loss span and its end, as
+places in the conversation's rendering.  Examples of a conversation share their
+prefix, so both tables together are as long as the input, also where one
+conversation holds a third of all rows; ``expand`` writes the examples out in
+full, whose length grows with the square of a conversation's.
 
 A conversation is read as a stream of rows in turn order and never held whole.
+Its digests run over all of its turns in order, so one task reads it: its memory
+doesn't grow with the conversation, its time does.
 """
 
 from __future__ import annotations
@@ -101,60 +105,85 @@ def format_chats(chats: DataFrame) -> DataFrame:
     return rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_format, _FORMATTED)
 
 
-def expand(formatted: DataFrame) -> DataFrame:
-    """The examples in full: conv_id, example, text, loss_start, loss_end."""
-    targets = formatted.where("example is not null").select("conv_id", "example", "loss_start", "loss_end", F.col("seq").alias("last"))
-    turns = formatted.select(F.col("conv_id").alias("of"), "seq", "rendered")
-    joined = targets.join(turns, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("seq") <= F.col("last")))
+def explode_examples(turns: DataFrame) -> DataFrame:
+    """One row per assistant turn of ``turns``: conv_id, example, context_turns, context_end, loss_start, loss_end, text_end.
+
+    The context is the rendering before ``context_end``, all of the turns before
+    the reply; ``loss_start`` to ``loss_end`` is the reply's escaped text, alone
+    trainable.  A conversation without an assistant turn has no example.
+    """
+    return turns.where("example is not null").select("conv_id", "example", F.col("seq").alias("context_turns"), F.col("start").alias("context_end"), "loss_start", "loss_end", "text_end")
+
+
+def expand(turns: DataFrame, examples: DataFrame) -> DataFrame:
+    """The examples in full: conv_id, example, text, loss_start, loss_end.
+
+    Rows without conv_id are one conversation.  The output is quadratic in a
+    conversation's length, and a text is held whole by a task.
+    """
+    parts = turns.select(F.col("conv_id").alias("of"), "seq", "rendered")
+    joined = examples.join(parts, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("seq") <= F.col("context_turns")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "rendered"))), lambda x: x["rendered"]), "")
     return joined.groupBy("conv_id", "example", "loss_start", "loss_end").agg(text.alias("text")).select("conv_id", "example", "text", "loss_start", "loss_end")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, some, turns, loss, counts = None, False, None, None, None
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    now, some, turns, loss, counts, last = None, False, None, None, None, None
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
 
     def row() -> tuple:
-        return now, counts[0], turns.hexdigest(), counts[1], loss.hexdigest(), counts[2]
+        return now, counts[0], turns.hexdigest(), counts[1], loss.hexdigest(), counts[2], counts[3]
 
     def record(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     for batch in batches:
         rows = []
-        for conv, rendered, start, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "rendered", "start", "loss_start", "loss_end"))):
+        for conv, seq, rendered, start, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "seq", "rendered", "start", "loss_start", "loss_end"))):
             if not some or conv != now:
                 if some:
                     rows.append(row())
-                now, some, turns, loss, counts = conv, True, hashlib.sha256(), hashlib.sha256(), [0, 0, 0]
-            for role, text in parse(rendered):
-                turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                counts[0] += 1
-            if a is not None:
-                masked = unescape(rendered[a - start : b - start])
-                loss.update(masked.encode("utf-8", "surrogatepass"))
-                counts[1] += len(masked)
-            counts[2] += len(rendered)
+                now, some, turns, loss, counts, last = conv, True, hashlib.sha256(), hashlib.sha256(), [0, 0, 0, 0], None
+            if rendered is not None:
+                for role, text in parse(rendered):
+                    turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                    counts[0] += 1
+                counts[2] += len(rendered)
+                last = seq, start, rendered
+                continue
+            # an example: its context ends where the turn that it closes starts
+            if last is None or last[:2] != (seq, start):
+                raise ValueError(f"example at turn {seq} of conversation {conv} doesn't meet its turn")
+            masked = unescape(last[2][a - start : b - start])
+            loss.update(masked.encode("utf-8", "surrogatepass"))
+            counts[1] += len(masked)
+            counts[3] += 1
         if rows:
             yield record(rows)
     if some:
         yield record([row()])
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, read back from its rendering: turns, digests of turns and of what is under the loss mask."""
-    parts = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = formatted.select("conv_id", "seq", "rendered", "start", "loss_start", "loss_end")
-    kinds = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "seq").mapInArrow(_digest, kinds)
+def digests(turns: DataFrame, examples: DataFrame) -> DataFrame:
+    """Per conversation, read back from both tables: turns, digests of turns and of what is under the examples' loss masks.
+
+    Tables without rows give none; rows without conv_id are one conversation.
+    """
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    said = turns.select("conv_id", "seq", F.lit(0).alias("kind"), "rendered", "start", nothing("long").alias("loss_start"), nothing("long").alias("loss_end"))
+    asked = examples.select("conv_id", F.col("context_turns").alias("seq"), F.lit(1).alias("kind"), nothing("string").alias("rendered"), F.col("context_end").alias("start"), "loss_start", "loss_end")
+    kinds = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
+    return said.unionByName(asked).repartition(parts, "conv_id").sortWithinPartitions("conv_id", "seq", "kind").mapInArrow(_digest, kinds)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = pick(spark.read.parquet(f"{sf_dir}/conversations.parquet"), conv_id="long", turn="long", role="string", text="string")
     hard = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], chats.schema)
-    return digests(cut(format_chats(chats.unionByName(extra)), "chats"))
+    turns = cut(format_chats(chats.unionByName(extra)), "chats")
+    return digests(turns, cut(explode_examples(turns), "examples"))
 
 
 #: DuckDB's SQL for all columns; formatted_chars counts the template and the backslashes put in.
@@ -163,9 +192,10 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  count(*) FILTER (role = 'assistant') AS n_examples,
   CAST(sum(13 + length(regexp_replace(role, '\\|###|</turn>', 'x\0', 'g')) + length(regexp_replace(text, '\\|###|</turn>', 'x\0', 'g'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """

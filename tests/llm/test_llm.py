@@ -277,17 +277,29 @@ def test_chat_query(spark):
     got = chat.query(spark, DIR).collect()
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == want
     formatted = chat.format_chats(spark.read.parquet(f"{DIR}/conversations.parquet").where("conv_id < 5"))
-    for r in chat.expand(formatted).collect():
+    seen = collections.Counter()
+    for r in chat.expand(formatted, chat.explode_examples(formatted)).collect():
         turns = chat.parse(r.text)
         assert turns == talks[r.conv_id][: len(turns)] and chat.unescape(r.text[r.loss_start : r.loss_end]) == turns[-1][1]
+        seen[r.conv_id] += 1
+    assert seen == {c: n for c in range(5) if (n := sum(a == "assistant" for a, _ in talks[c]))}
+    assert {r.conv_id: r.n_examples for r in got} == {c: sum(a == "assistant" for a, _ in t) for c, t in talks.items()}
 
 
 def test_chat_odd(spark):
     rows = [(1, None, "assistant", None), (1, 1, None, "x"), (None, 0, "assistant", "y"), (2, 0, "user", "z"), (2, 0, "user", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(1)).withColumn("start", F.lit("x"))
-    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digests(chat.format_chats(df)).collect()}
-    assert got == {1: (2, 0), None: (1, 1), 2: (2, 0)}
-    assert chat.digests(chat.format_chats(df.limit(0))).count() == 0
+    both = lambda d: (t := chat.format_chats(d), chat.explode_examples(t))
+    got = {r.conv_id: (r.n_turns, r.loss_chars, r.n_examples) for r in chat.digests(*both(df)).collect()}
+    assert got == {1: (2, 0, 1), None: (1, 1, 1), 2: (2, 0, 0)}
+    assert chat.digests(*both(df.limit(0))).count() == 0
+    assert {(r.conv_id, r.text) for r in chat.expand(*both(df)).collect()} == {(1, "### assistant\n</turn>\n"), (None, "### assistant\ny</turn>\n")}
+    long = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", "x" * 50_000) for i in range(40)], "conv_id long, turn long, role string, text string")
+    row = chat.digests(*both(long)).first()
+    assert (row.n_examples, row.loss_chars) == (20, 1_000_000)
+    wrong = chat.explode_examples(chat.format_chats(long)).withColumn("context_end", F.lit(1).cast("long"))
+    with pytest.raises(Exception, match="doesn't meet its turn"):
+        chat.digests(chat.format_chats(long), wrong).collect()
 
 
 def python_targets(sizes, weights=(5, 2, 1)):
