@@ -17,12 +17,25 @@ from pyspark.sql import types as T
 
 from marginalia.shipping import ship
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and runs on one machine, as in tests.
 LOCAL_ROOT = "file:///tmp/checkpoints"
 
 
 def shared_root(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_ROOT).rstrip("/")
+    """The folder of ``spark.checkpoint.dir``; a session on one machine may do without the setting, a cluster may not."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_ROOT).rstrip("/")
+
+
+def place_of(names: list[str], name: str) -> int:
+    """The first place of ``name`` among columns: exactly, else ignoring case."""
+    found = [i for i, n in enumerate(names) if n == name] or [i for i, n in enumerate(names) if n.lower() == name.lower()]
+    if not found:
+        raise ValueError(f"column {name!r} is missing; there are {names}")
+    return found[0]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -67,10 +80,7 @@ def pick(df: DataFrame, *keep: Column, **columns: str) -> DataFrame:
     flat = df.toDF(*[f"__c{i}" for i in range(len(names))])
     out = []
     for name, kind in columns.items():
-        found = [i for i, n in enumerate(names) if n == name] or [i for i, n in enumerate(names) if n.lower() == name.lower()]
-        if not found:
-            raise ValueError(f"column {name!r} is missing; there are {names}")
-        out.append(F.col(f"__c{found[0]}").cast(kind).alias(name))
+        out.append(F.col(f"__c{place_of(names, name)}").cast(kind).alias(name))
     return flat.select(*out, *keep)
 
 
@@ -102,10 +112,7 @@ class Rows:
 
     def at(self, name: str) -> str:
         """The plain name of the column that carries ``name``: exactly, else ignoring case."""
-        found = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
-        if not found:
-            raise ValueError(f"column {name!r} is missing; there are {self.names}")
-        return f"__c{found[0]}"
+        return f"__c{place_of(self.names, name)}"
 
     def pick(self, **columns: str) -> DataFrame:
         """The key and the named columns, cast."""
