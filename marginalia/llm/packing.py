@@ -9,8 +9,8 @@ not fill a last sequence go to sequences of a power of two, which need no
 padding.
 
 Packing runs within a task over groups of documents as they come, so no text is
-shuffled and memory is bounded by a group's ids; a task leaves at most a few
-short sequences.  A sequence's id holds its task's partition, so ids are unique
+shuffled and memory is bounded by a group's ids (a group closes by tokens or by
+documents) and one text; a group leaves at most twelve short sequences.  A sequence's id holds its task's partition, so ids are unique
 and the same when a task is run again.
 """
 
@@ -27,8 +27,8 @@ from marginalia.llm.tokens import encoder, text_batches, vocabulary_path
 from marginalia.storage import pick
 
 CAPACITY = 4096
-#: Tokens that a task gathers before it packs them: 1,024 full sequences, 8 MB of ids.
-GROUP_TOKENS = 1 << 22
+#: Tokens that a task gathers before it packs them: 1,024 full sequences, 8 MB of ids; and documents, which may be empty.
+GROUP_TOKENS, GROUP_DOCS = 1 << 22, 1 << 16
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -110,7 +110,7 @@ def _pack(path: str, group_tokens: int, capacity: int):
                     ids.append(found)
                     doc_ids.append(key)
                     held += len(found) // 2
-                    if held >= group_tokens:
+                    if held >= group_tokens or len(ids) >= GROUP_DOCS:
                         yield close()
         if ids:
             yield close()

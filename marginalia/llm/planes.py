@@ -10,7 +10,9 @@ A shard file holds the ids of a run of documents in ascending doc_id order:
              and the sizes of its planes, and where the tail lies
     footer   8 bytes: the index's length, little-endian
 
-A reader seeks to the footer, then the index, then only the chunks it wants.
+Texts are encoded where they are read, and their ids alone (16 bits each) are
+dealt out to shards by a range of (doc_id, row), so that a doc_id which a third of
+the rows carry is split among shards.  A reader seeks to the footer, then the index, then only the chunks it wants.
 Shards are written through ``pyarrow.fs`` below the shared folder under a name
 of the attempt and renamed when whole, so a task may be run again or twice.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.tokens import encoder, text_batches, vocabulary_path
-from marginalia.storage import cut, new_folder, pick
+from marginalia.storage import Rows, cut, new_folder, remove_folder
 
 MAGIC = b"MGPLANE1"
 BLOCK = 1 << 16
@@ -134,7 +136,18 @@ class ShardReader:
         return np.concatenate(out) if out else np.empty(0, "<u2")
 
 
-def _write(path: str, folder: str, kind: str):
+def _encode(path: str, rest: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in text_batches(texts):
+                ids = pa.array(encoder(path).encode(texts[a:b]), pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in rest], ids], names=[*rest, "ids"])
+
+    return run
+
+
+def _write(folder: str, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
@@ -143,13 +156,11 @@ def _write(path: str, folder: str, kind: str):
         store, root = fs.FileSystem.from_uri(folder)
         name, passing = f"{root}/shard-{part:06d}.mgp", f"{root}/_attempt-{part:06d}-{uuid.uuid4().hex[:8]}"
         for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, b in text_batches(texts):
-                if writer is None:
-                    sink = store.open_output_stream(passing)
-                    writer = ShardWriter(sink, kind)
-                for key, ids in zip(keys[a:b], encoder(path).encode(texts[a:b])):
-                    writer.add(key, ids)
+            if writer is None and batch.num_rows:
+                sink = store.open_output_stream(passing)
+                writer = ShardWriter(sink, kind)
+            for key, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+                writer.add(key, ids.as_py())
         if writer is not None:
             writer.close()
             sink.close()
@@ -159,13 +170,17 @@ def _write(path: str, folder: str, kind: str):
     return run
 
 
-def write_shards(docs: DataFrame, folder: str, path: str | None = None, kind: str = "byte", shards: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame | Rows, folder: str, path: str | None = None, kind: str = "byte", shards: int | None = None) -> DataFrame:
     """Encode every text and write the shards; returns the manifest (shard, name, n_docs, n_ids, first_id)."""
-    spark = docs.sparkSession
-    rows = pick(docs, doc_id="long", text="string")
+    given = Rows.of(docs)
+    spark, key = given.frame.sparkSession, given.key
+    rows = given.pick(doc_id="long", text="string")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    made = cut(ordered.mapInArrow(_write(path or vocabulary_path(), folder, kind), "shard int, name string, n_docs long, n_ids long"), "manifest", f"{folder}/manifest")
+    at = new_folder(spark, "encoded")
+    encoded = cut(rows.mapInArrow(_encode(path or vocabulary_path(), (*key, "doc_id")), "__file long, __row long, doc_id long, ids binary"), "encoded", f"{at}/ids")
+    ordered = encoded.repartitionByRange(shards, "doc_id", *key).sortWithinPartitions("doc_id", *key)
+    made = cut(ordered.mapInArrow(_write(folder, kind), "shard int, name string, n_docs long, n_ids long"), "manifest", f"{folder}/manifest")
+    remove_folder(spark, at)
     # one row a shard, so a window over all of them is small
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return made.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -184,11 +199,13 @@ def _read(folder: str):
                     starts = np.cumsum(counts) - counts
                     sums, held, k = [], np.empty(0, "<u2"), 0
                     for n in counts.tolist():
-                        while len(held) < n:
-                            held = np.concatenate([held, reader.chunk(k)])
-                            k += 1
-                        sums.append(zlib.crc32(held[:n].astype("<u4").tobytes()))
-                        held = held[n:]
+                        crc = 0  # goes on from chunk to chunk, so a document of any length takes one chunk's memory
+                        while n:
+                            if not len(held):
+                                held, k = reader.chunk(k), k + 1
+                            crc = zlib.crc32(held[:n].astype("<u4").tobytes(), crc)
+                            n, held = n - min(n, len(held)), held[n:]
+                        sums.append(crc)
                 for a in range(0, len(sums), 10_000):
                     part = slice(a, a + 10_000)
                     ids = pa.array(keys[part], mask=keys[part] == NO_ID)
@@ -203,15 +220,15 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
     return names.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode_documents(docs: DataFrame, folder: str | None = None, path: str | None = None, kind: str = "byte") -> DataFrame:
+def encode_documents(docs: DataFrame | Rows, folder: str | None = None, path: str | None = None, kind: str = "byte") -> DataFrame:
     """Write all documents' ids to shards and read them back: doc_id, start, n_tokens, ids_crc32.
 
     Null texts are empty and have the end id alone.  Null doc_ids come first;
-    equal doc_ids are ordered by text, and rows repeated whole follow one
-    another.  An empty table gives no file and no rows.  Further columns are
-    ignored.
+    rows of equal doc_id, repeated whole or not, follow in the order of their
+    place in the files.  An empty table gives no file and no rows.  Further
+    columns are ignored.
     """
-    folder = folder or new_folder(docs.sparkSession, "token-ids")
+    folder = folder or new_folder(docs.sparkSession if isinstance(docs, DataFrame) else docs.frame.sparkSession, "token-ids")
     return read_documents(write_shards(docs, folder, path, kind), folder)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.sampling import FIT_ROWS, fold, labelled
-from marginalia.storage import pick
+from marginalia.storage import pick, place_of
 
 THRESHOLD = 0.3
 BINS, DEPTH, TREES, RATE, LAMBDA, LEAST_LEAF = 64, 4, 60, 0.15, 1.0, 8
@@ -148,7 +148,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Trees:
     """Trees for ``labels.quality``, from at most ``limit`` labelled documents outside the held-out fold."""
     sample = labelled(docs, labels, "quality", limit).select("text", "y").mapInArrow(_features, "y int, x array<double>")
-    got = sample.toArrow()  # at most ``limit`` rows of len(NAMES) numbers (more only where doc_ids repeat)
+    got = sample.toArrow()  # at most ``limit`` rows of len(NAMES) numbers
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(NAMES))
     y = np.array(got.column("y").to_pylist(), float)
     order = np.lexsort((*x.T, y))  # rows come in any order; the trees shall not depend on it
@@ -177,10 +177,17 @@ def score_documents(docs: DataFrame, trees: Trees) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those scored below ``threshold``, all columns as they were."""
+    """``docs`` without those scored below ``threshold``, all columns as they were.
+
+    Null and empty texts get the score of all-zero statistics and go if that is
+    low; equal texts, and rows repeated whole, stay or go together; null doc_ids
+    don't matter.  The column ``text`` is found by exact name, else ignoring
+    case; columns of any other names, repeated ones too, are carried along.  An
+    empty table stays empty.
+    """
     names = docs.columns
     plain = [f"__c{i}" for i in range(len(names))]
-    flat = docs.toDF(*plain).withColumn("__text", F.col(plain[names.index("text")]).cast("string"))
+    flat = docs.toDF(*plain).withColumn("__text", F.col(plain[place_of(names, "text")]).cast("string"))
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields[:-1]] + ["__score double"])
     scored = flat.mapInArrow(_scores(trees, plain, [*plain, "__score"]), schema)
     return scored.where(F.col("__score") >= threshold).select(*plain).toDF(*names)

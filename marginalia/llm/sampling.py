@@ -21,12 +21,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int = FIT_RO
     """(doc_id, text, y) of at most ``limit`` labelled documents outside the held-out fold.
 
     Rows with a null doc_id or label take no part; a doc_id labelled twice has
-    the label most rows give it, 1 at a tie.  The sample is at most ``limit``
-    rows of two numbers, which is why it may be broadcast.
+    the label most rows give it, 1 at a tie; a doc_id that several documents
+    carry gives the least of their texts.  So there are ``limit`` rows at most,
+    also if one doc_id holds a third of all rows.  The chosen ids are at most
+    ``limit`` rows of two numbers, which is why they may be broadcast.
     """
     known = pick(labels, **{"doc_id": "long", label: "double"}).withColumnRenamed(label, "y")
     known = known.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold("doc_id") != 0))
     known = known.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = pick(docs, doc_id="long", text="string")
-    return rows.join(F.broadcast(chosen), "doc_id")
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))

@@ -2,8 +2,9 @@
 
 The tokenizer's pattern never joins characters across ASCII blanks and drops
 them, so a text's ids are those of its blank-separated words in turn.  Each
-worker keeps the ids of words it has met, in two generations of bounded size;
-words not met yet are encoded together, a batch of documents at a time.
+worker keeps the ids of words it has met, in two generations of bounded bytes;
+words not met yet are encoded together, a batch of documents at a time.  Words
+over ``LONGEST`` bytes (text without blanks, encoded data) are never kept.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ import os
 import numpy as np
 
 END_ID = 2
-#: Words kept by a worker: two generations of at most this many, about 200 bytes each, 480 MB at most.
-GENERATION = 1_200_000
+#: Bytes of memory that a generation of words takes before the next begins, and of a word and its ids beside their own.
+GENERATION, ENTRY = 200 << 20, 150
+#: Longest word, in bytes, that is kept.
+LONGEST = 64
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -37,13 +40,28 @@ class Encoder:
             raise ValueError("ids don't fit 16 bits")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for word, ids in zip(part, found):
-                self.young[word] = np.array(ids.ids, "<u2").tobytes()
+        self.held = 0  # bytes of ``young``, about
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.young[word] = ids
+        self.held += ENTRY + len(word) + len(ids)
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Encodes words, in parts of bounded size; returns those too long to be kept."""
+        long, start, total = {}, 0, 0
+        for i, word in enumerate(words, 1):
+            total += len(word)
+            if i == len(words) or i - start == 4096 or total >= 1 << 18:
+                part = words[start:i]
+                found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+                for w, x in zip(part, found):
+                    ids = np.array(x.ids, "<u2").tobytes()
+                    if len(w) > LONGEST:
+                        long[w] = ids
+                    else:
+                        self._keep(w, ids)
+                start, total = i, 0
+        return long
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes, with END_ID at the end; a null text is empty."""
@@ -54,14 +72,16 @@ class Encoder:
         for word in met:
             if word not in young:
                 if word in old:
-                    young[word] = old[word]
+                    self._keep(word, old[word])
                 else:
                     new.append(word)
-        self._learn(new)
+        long = self._learn(new)
         one, end = young.__getitem__, np.array([END_ID], "<u2").tobytes()
+        if long:
+            one = lambda w: long[w] if w in long else young[w]
         out = [b"".join(map(one, words)) + end for words in split]
-        if len(young) > GENERATION:
-            self.old, self.young = young, {}
+        if self.held > GENERATION:
+            self.old, self.young, self.held = young, {}, 0
         return out
 
 
