@@ -14,7 +14,13 @@
 
 Equal vectors are one entry with the k + 1 smallest ids, all that a result of k
 can show, so a vector that fills a third of the table is on a list once.  The
-entries of a list and the queries that read it meet by a shuffle on the list.
+entries of a list and the queries that read it meet by a shuffle on the list;
+long lists, and lists that many queries read, are cut into parts that meet each
+other, so a task holds at most ``LIST_ROWS`` of either.
+
+Vectors of each length are searched among their own.  A length with more than
+``LIST_ROWS`` entries has an index of its own; the entries of each shorter one
+are a single list, read by all its queries.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from marginalia.storage import cut, pick
 K = 10
 #: Bounds of what the driver fits and every worker holds: sample rows and their floats, centroids.
 SAMPLE_ROWS, SAMPLE_FLOATS, CENTROIDS = 65_536, 1 << 23, 16_384
-#: Vectors a list shall have about, and most of a list that one task reads.
+#: Vectors a list shall have about, and most entries of a list, or queries of it, that one task reads.
 LIST_MEAN, LIST_ROWS = 96, 8192
 REPLICAS, BOUNDARY, RATIO = 8, 1.08, 1.5
 BEAM, DEGREE = 64, 24
@@ -197,26 +203,9 @@ def entries_of(vectors: DataFrame, k: int) -> DataFrame:
     return cut(own.select(F.monotonically_increasing_id().alias("g"), "v", "ids"), "entries")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """Each query's k nearest found: query_id, rank, vec_id, score (Euclidean distance), nearest first, ties to the smaller vec_id.
-
-    Both frames have vec_id and embedding; a query never finds its own id.
-    Vectors that are null or zero, or hold a null or a component that isn't
-    finite, take no part, nor do rows without vec_id and vectors of another
-    length than most.  Rows repeated whole count once.  Fewer candidates than k
-    are all found.  Empty tables give no rows.  Further columns are ignored.
-    """
-    spark = vectors.sparkSession
-    clean = lambda df: pick(df, vec_id="long", embedding="array<double>").withColumnRenamed("embedding", "v").where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    every, asked = clean(vectors), clean(queries)
-    lengths = every.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    none = "query_id long, rank int, vec_id long, score double"
-    if lengths is None:
-        return spark.createDataFrame([], none)
-    every, asked = every.where(F.size("v") == lengths[0]), asked.where(F.size("v") == lengths[0])
-    entries = entries_of(every, k)
-    n = entries.count()
-    rows = max(1, min(SAMPLE_ROWS, SAMPLE_FLOATS // lengths[0]))
+def _index(entries: DataFrame, asked: DataFrame, length: int, n: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Postings (list, g, ids, v) of the entries of one length, and probes (list, g, v) of its queries."""
+    rows = max(1, min(SAMPLE_ROWS, SAMPLE_FLOATS // length))
     part = entries if n <= rows else entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
     sample = _vectors(part.select("v").limit(2 * rows).toArrow().column("v").combine_chunks())
     sample = sample[np.lexsort(sample.T[::-1])]  # rows come in any order
@@ -225,15 +214,53 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     sizes = np.zeros(len(graph.c), np.int64)
     for r in postings.groupBy("list").count().collect():  # a row a centroid at most
         sizes[r[0]] = r[1]
-    cuts = F.element_at(F.array(*[F.lit(int(-(-s // LIST_ROWS))) for s in sizes]), F.col("list") + 1) if sizes.max() > LIST_ROWS else F.lit(1)
-    lists = postings.withColumn("part", F.pmod(F.xxhash64("g"), F.greatest(cuts, F.lit(1))).cast("int"))
-    wanted = cut(asked.select("vec_id", "v").distinct().join(entries.select("g", "v"), "v"), "wanted") if vectors is queries else None
-    if wanted is None:  # queries from elsewhere: entries of their own
-        own = cut(asked.select("v").distinct().select(F.monotonically_increasing_id().alias("g"), "v"), "asked")
-        wanted = cut(asked.select("vec_id", "v").distinct().join(own, "v"), "wanted")
-    probes = wanted.groupBy("g").agg(F.first("v").alias("v")).mapInArrow(_probe(graph, sizes, k + 1), "list int, g long, v array<double>")
-    probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(cuts, F.lit(1)) - 1)))
-    found = lists.groupBy("list", "part").cogroup(probes.groupBy("list", "part")).applyInArrow(_meet(k + 1), "q long, vec_id long, score double")
+    return postings, cut(asked.mapInArrow(_probe(graph, sizes, k + 1), "list int, g long, v array<double>"), "probes")
+
+
+def _parts(postings: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings and probes with the parts in which they meet: each part of a list's entries meets each part of its queries."""
+    of = ["length", "list"]
+    cuts = lambda df, name: df.groupBy(*of).agg(F.ceil(F.count("*") / F.lit(LIST_ROWS)).cast("int").alias(name))
+    both = cut(cuts(postings, "rows").join(cuts(probes, "asks"), of), "cuts")  # a row a list
+    mine = lambda n: F.pmod(F.xxhash64("g"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = postings.join(both, of).withColumn("row", mine("rows")).withColumn("ask", every("asks"))
+    right = probes.join(both, of).withColumn("ask", mine("asks")).withColumn("row", every("rows"))
+    return left.drop("rows", "asks"), right.drop("rows", "asks")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """Each query's k nearest found: query_id, rank, vec_id, score (Euclidean distance), nearest first, ties to the smaller vec_id.
+
+    Both frames have vec_id and embedding; a query never finds its own id, and
+    is compared with vectors of its own length.  Vectors that are null or zero,
+    or hold a null or a component that isn't finite, take no part, nor do rows
+    without vec_id.  Rows repeated whole count once; a vec_id that has several
+    vectors is asked for with each.  Fewer candidates than k are all found.
+    Empty tables give no rows.  Further columns are ignored.
+    """
+    spark = vectors.sparkSession
+    clean = lambda df: pick(df, vec_id="long", embedding="array<double>").withColumnRenamed("embedding", "v").where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    every, asked = clean(vectors), clean(queries).distinct()
+    entries = entries_of(every, k)
+    counts = entries.groupBy(F.size("v").alias("length")).count()
+    large = {r[0]: r[1] for r in counts.where(F.col("count") > LIST_ROWS).collect()}  # lengths, of which few have so many
+    if vectors is queries or entries.isEmpty():
+        own = entries.select("g", "v")
+    else:
+        own = cut(asked.select("v").distinct().select((-1 - F.monotonically_increasing_id()).alias("g"), "v"), "asked")
+    wanted = cut(asked.join(own, "v"), "wanted")
+    probing = wanted.groupBy("g").agg(F.first("v").alias("v"))
+    few = ~F.size("v").isin(*large) if large else F.lit(True)
+    named = lambda df, n: df.select(n.alias("length"), *df.columns)
+    short = lambda df: named(df.where(few).select(F.lit(0).alias("list"), "*"), F.size("v"))
+    postings, probes = short(entries), short(probing)
+    for length, n in sorted(large.items()):
+        own_postings, own_probes = _index(entries.where(F.size("v") == length), probing.where(F.size("v") == length), length, n, k)
+        postings, probes = postings.unionByName(named(own_postings, F.lit(length))), probes.unionByName(named(own_probes, F.lit(length)))
+    lists, probes = _parts(postings, probes)
+    meet = ["length", "list", "row", "ask"]
+    found = lists.groupBy(*meet).cogroup(probes.groupBy(*meet)).applyInArrow(_meet(k + 1), "q long, vec_id long, score double")
     found = found.groupBy("q", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("q").orderBy("score", "vec_id")
     found = cut(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n"), "found")

@@ -164,12 +164,34 @@ def test_ann_odd(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in ann.search(df, df.where("vec_id = 0")).collect())
     assert got == [(0, 1, 1, 0.0), (0, 2, 7, math.sqrt(2))]
+    assert ann.search(extra(df), df.limit(0)).count() == 0
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
     many = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)] + [(1000 + i, [float(i), 1.0]) for i in range(1, 300)], "vec_id long, embedding array<float>")
     got = ann.search(many, many.where("vec_id % 100 = 0")).where("query_id = 100").orderBy("rank").collect()
     assert [r.vec_id for r in got] == list(range(10))
 
 
+@pytest.mark.parametrize("rows", [16, 8192])
+def test_ann_lengths_and_long_lists(spark, monkeypatch, rows):
+    """Vectors of several lengths, each searched among its own; lists and their queries cut into parts."""
+    monkeypatch.setattr(ann, "LIST_ROWS", rows)
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.integers(1, 20, d).astype(float).tolist()) for d, n in ((3, 150), (5, 60), (1, 10), (2, 1)) for i in range(1000 * d, 1000 * d + n)]
+    vectors += [(9000 + i, [1.0, 2.0, 3.0]) for i in range(80)]  # one vector in a fourth of the rows
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got, hits, wanted = collections.defaultdict(list), 0, 0
+    for r in ann.search(df, df.where("vec_id % 2 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    for q, v in vectors:
+        if q % 2 == 0:
+            want = sorted((math.dist(v, w), i) for i, w in vectors if len(w) == len(v) and i != q)[:10]
+            if rows == 8192 or len(v) in (1, 2):
+                assert [i for _, i in got[q]] == [i for _, i in want] and all(abs(a - b) < 1e-9 for (a, _), (b, _) in zip(got[q], want))
+            hits += len({i for _, i in got[q]} & {i for _, i in want})
+            wanted += len(want)
+    assert hits >= 0.9 * wanted
+
+
 def token_ids(text):
     t = tokens.Encoder(tokens.vocabulary_path()).tokenizer
     return np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
