@@ -2,18 +2,23 @@
 
 1. A source's target words: weights are shared out, no source above twice its
    size, the excess reshared by weight (filling to a common level).
-2. A document is a run of blocks of ``BLOCK_WORDS`` words.  A source's target is
-   so many whole passes and a quota of blocks for one more.
+2. A document is a run of cells of ``CELL_WORDS`` words, in blocks of up to
+   ``BLOCK_CELLS`` cells.  A source's target is so many whole passes and a quota
+   of cells for one more.
 3. Documents fall to shards by hash.  A splitting tree deals each source's quota
    out to the shards: a node's quota goes to its (up to 16) children by a
-   multivariate hypergeometric draw, as a uniform draw of blocks without
+   multivariate hypergeometric draw, as a uniform draw of cells without
    replacement would, and the quotas of the children add up exactly.
-4. In a shard, a source's documents are permuted by hash and their blocks drawn
-   in that order until the shard's quota is met: draws are disjoint, documents
-   stay whole but for one a shard.  A second hash orders the shard's output.
-
-A window holds the documents of one source in one shard, about ``SHARD_ROWS``
-in all sources together, so no source is ever in one task.
+4. In a shard, the blocks of a source are permuted by hash and drawn in that
+   order until the shard's quota is met: draws are disjoint, blocks stay whole
+   but for one a source and shard, which gives its first cells.
+5. A second hash shuffles what a shard has drawn: ``position`` is a document's
+   place in its shard, and the mix is written in that order.
+
+A window holds the blocks of one source in one shard, about ``SHARD_ROWS``
+documents in all sources together, so no source is ever in one task.  Documents
+that share doc_id, size and source, however many, are told apart by their row
+and so fall to many shards.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from marginalia.storage import Rows, cut
 # Fixed values of the default mix.
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
-BLOCK_WORDS = 16
+CELL_WORDS, BLOCK_CELLS = 16, 32
 SHARD_ROWS = 1024
 FANOUT_BITS = 4
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -92,8 +97,8 @@ def hypergeometric(left: Column, right: Column, quota: Column, u: Column) -> Col
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """Per source: sk, source_size, blocks, target, passes, quota.  Windows here run over one row per source."""
-    by = sized.groupBy("sk", "source").agg(F.sum("size").alias("source_size"), F.sum("blocks").alias("blocks"))
+    """Per source: sk, source_size, cells, target, passes, quota.  Windows here run over one row per source."""
+    by = sized.groupBy("sk", "source").agg(F.sum("size").alias("source_size"), F.sum("cells").alias("cells"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(place - 1, F.lit(len(weights))))
     by = by.withColumn("weight", weight).withColumn("most", cap * F.col("source_size")).withColumn("goal", share * F.sum("source_size").over(Window.partitionBy()))
@@ -109,19 +114,19 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     by = by.withColumn("target", target)
     size = F.greatest("source_size", F.lit(1))
     passes = F.least(F.floor(F.col("target") / size), F.lit(int(cap))).cast("long")
-    quota = F.round((F.col("target") - F.col("passes") * F.col("source_size")) / size * F.col("blocks")).cast("long")
-    return by.withColumn("passes", passes).select("sk", "source_size", "blocks", "target", "passes", F.least(F.greatest(quota, F.lit(0)), "blocks").alias("quota"))
+    quota = F.round((F.col("target") - F.col("passes") * F.col("source_size")) / size * F.col("cells")).cast("long")
+    return by.withColumn("passes", passes).select("sk", "source_size", "cells", "target", "passes", F.least(F.greatest(quota, F.lit(0)), "cells").alias("quota"))
 
 
 def split_quotas(leaves: DataFrame, sources: DataFrame, bits: int, seed: int) -> DataFrame:
-    """(sk, shard, quota): each source's quota dealt out to ``2**bits`` shards.  leaves: (sk, shard, blocks)."""
+    """(sk, shard, quota): each source's quota dealt out to ``2**bits`` shards.  leaves: (sk, shard, cells)."""
     level = sources.select("sk", F.lit(0).cast("long").alias("node"), "quota")
     done = 0
     while done < bits:
         step = min(FANOUT_BITS, bits - done)
         below = bits - done - step
         node = F.shiftright("shard", below)
-        counts = leaves.groupBy("sk", node.alias("child")).agg(F.sum("blocks").alias("n"))
+        counts = leaves.groupBy("sk", node.alias("child")).agg(F.sum("cells").alias("n"))
         fans = counts.groupBy("sk", F.shiftright("child", step).alias("node")).agg(F.array_sort(F.collect_list(F.struct("child", "n"))).alias("children"), F.sum("n").alias("rest"))
         start = lambda: F.struct(F.col("rest").alias("rest"), F.col("quota").alias("left"), F.array().cast("array<struct<child:bigint,quota:bigint>>").alias("dealt"))
 
@@ -137,53 +142,95 @@ def split_quotas(leaves: DataFrame, sources: DataFrame, bits: int, seed: int) ->
     return level.withColumnRenamed("node", "shard")
 
 
-def mix(docs: DataFrame | Rows, seed: int = 0, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, shard, position, and the row's key.
+def spread(sized: DataFrame, seed: int) -> DataFrame:
+    """``sized`` with ``h``, a hash that is the same wherever the table lies, but that many equal rows don't share.
+
+    It is that of doc_id, size and source; rows which have it in common (counted
+    by partial sums) are told apart by their row number.
+    """
+    first = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "sk"))
+    shared = first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("__h"))
+    joined = first.join(shared, F.col("h") == F.col("__h"), "left")
+    return joined.withColumn("h", F.when(F.col("__h").isNull(), F.col("h")).otherwise(F.xxhash64("h", "__row"))).drop("__h")
+
 
-    A null text has no words and gives none; a null source is a source of its
-    own, the last; null doc_ids are documents like others.  Documents equal in
-    all columns are told apart by their place, which of them is drawn does not
-    show.  An empty table gives no rows.  Further columns are ignored.
+def draw(docs: DataFrame | Rows, seed: int = 0, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """One row per document: key, doc_id, source, size, source_size, target, passes, pieces, taken, shard, h.
+
+    ``pieces`` are the drawn blocks as struct(start, n) in words.  The rows of a
+    shard are in one partition.
     """
     given = Rows.of(docs)
     key = given.key
+    spark = given.frame.sparkSession
     sized = given.pick(doc_id="long", source="string", text="string").withColumn("size", word_count(F.col("text"))).drop("text")
-    sized = sized.withColumn("blocks", F.ceil(F.col("size") / BLOCK_WORDS).cast("long")).withColumn("sk", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    sized = cut(sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "sk")), "sized")
+    sized = sized.withColumn("cells", F.ceil(F.col("size") / CELL_WORDS).cast("long")).withColumn("sk", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    sized = cut(spread(cut(sized, "counted"), seed), "sized")
     bits = max(1, math.ceil(math.log2(max(1, sized.count()) / SHARD_ROWS)))
     sized = sized.withColumn("shard", F.shiftrightunsigned("h", 64 - bits))
     sources = cut(targets(sized, weights, share, cap), "sources")
-    leaves = cut(sized.groupBy("sk", "shard").agg(F.sum("blocks").alias("blocks")), "leaves")
-    quotas = split_quotas(leaves, sources, bits, seed).join(sources.drop("quota", "blocks"), "sk")
+    leaves = cut(sized.groupBy("sk", "shard").agg(F.sum("cells").alias("cells")), "leaves")
+    quotas = split_quotas(leaves, sources, bits, seed).join(sources.drop("quota", "cells"), "sk")
     quotas = cut(quotas, "quotas")
-    before = Window.partitionBy("sk", "shard").orderBy("h", "doc_id", *key).rowsBetween(Window.unboundedPreceding, -1)
-    drawn = sized.join(quotas, ["sk", "shard"]).withColumn("before", F.coalesce(F.sum("blocks").over(before), F.lit(0)))
-    blocks = F.least("blocks", F.greatest(F.lit(0), F.col("quota") - F.col("before")))
-    taken = F.col("passes") * F.col("size") + F.least("size", blocks * BLOCK_WORDS)
-    return drawn.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "shard", F.xxhash64(F.lit(seed + 1), "h").alias("position"), *key)
+    # a document without a word has one block without a cell
+    blocks = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("cells") / BLOCK_CELLS) - 1, F.lit(0).cast("long")))
+    each = sized.join(quotas, ["sk", "shard"]).withColumn("block", F.explode(blocks))
+    each = each.withColumn("n", F.least(F.lit(BLOCK_CELLS).cast("long"), F.col("cells") - F.col("block") * BLOCK_CELLS))
+    each = each.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+    order = [F.xxhash64(F.lit(seed + 2), "h", "block"), "h", "block", *key]
+    before = Window.partitionBy("sk", "shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    cells = F.least("n", F.greatest(F.lit(0), F.col("quota") - F.coalesce(F.sum("n").over(before), F.lit(0))))
+    start = F.col("block") * (BLOCK_CELLS * CELL_WORDS)
+    each = each.withColumn("start", start).withColumn("words", F.least(F.col("size") - F.col("start"), cells * CELL_WORDS))
+    piece = F.when(F.col("words") > 0, F.struct("start", F.col("words").alias("n")))
+    # a document's blocks lie in one partition already
+    drawn = each.groupBy("shard", "sk", "h", *key, "doc_id", "source", "size", "source_size", "target", "passes").agg(F.sum("words").alias("extra"), F.array_sort(F.collect_list(piece)).alias("pieces"))
+    return drawn.withColumn("taken", (F.col("passes") * F.col("size") + F.col("extra")).cast("long"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The mix itself, in the columns of ``docs``.
+def mix(docs: DataFrame | Rows, seed: int = 0, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, shard, position, and the row's key.
 
-    A document is there once for each whole pass over it, and once more with
-    its first words if a pass takes part of it (n_chars, where there is such a
-    column, then counts those).  Documents of which nothing is taken are not.
+    ``position`` is the document's place, from 0 on, in the shuffled order of its
+    shard.  A null text has no words and gives none; a null source is a source of
+    its own, the last; null doc_ids are documents like others.  Documents equal
+    in doc_id, size and source are told apart by their row.  An empty table gives
+    no rows.  Further columns are ignored.
+    """
+    given = Rows.of(docs)
+    drawn = draw(given, seed, weights, share, cap)
+    shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "h"), "h", *given.key)
+    return drawn.select("doc_id", "source", "size", "source_size", "target", "taken", "shard", (F.row_number().over(shuffled) - 1).alias("position"), *given.key)
+
+
+def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The mix itself, in the columns of ``docs``, a shard's rows together and in shuffled order.
+
+    A document is there once for each whole pass over it, once more if the draw
+    took all of its blocks, else once with the words of each block drawn
+    (n_chars, where there is such a column, then counts those).  Documents of
+    which nothing is taken, as those of null, empty or blank text, are not there.
+    Null doc_ids and sources, equal rows, and columns of any names are carried
+    along; an empty table stays empty.
     """
     given = Rows.of(docs)
-    takes = mix(given, seed).where("taken > 0").select(*given.key, F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    joined = given.frame.join(takes, list(given.key))
-    whole, part = F.floor(F.col("__taken") / F.col("__size")), F.col("__taken") % F.col("__size")
-    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    rows = joined.withColumn("__words", F.explode(copies))
-    text, cut_short = given.at("text"), F.col("__words") > 0
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text).cast("string"), F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0)), 1, F.col("__words").cast("int")), "")
-    rows = rows.withColumn(text, F.when(cut_short, head).otherwise(F.col(text)))
+    whole = F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n"))  # no words asked for: all of them
+    again = F.when(F.col("extra") == F.col("size"), F.array(whole)).otherwise(F.col("pieces"))
+    takes = draw(given, seed).where("taken > 0").withColumn("copies", F.concat(F.array_repeat(whole, F.col("passes").cast("int")), again))
+    takes = takes.select(*given.key, "shard", "h", F.posexplode("copies").alias("__copy", "__piece"))
+    takes = cut(takes.withColumn("__place", F.xxhash64(F.lit(seed + 1), "h", "__copy")).withColumnRenamed("shard", "__shard").drop("h", "__copy"), "takes")
+    rows = given.frame.join(takes, list(given.key))
+    text, cut_short = given.at("text"), F.col("__piece.n") > 0
+    found = F.regexp_extract_all(F.col(text).cast("string"), F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0))
+    part = F.array_join(F.slice(found, (F.col("__piece.start") + 1).cast("int"), F.col("__piece.n").cast("int")), "")
+    part = F.when(F.col("__piece.start") > 0, F.regexp_replace(part, "^[\\x20\\x09-\\x0D]+", "")).otherwise(part)
+    rows = rows.withColumn(text, F.when(cut_short, part).otherwise(F.col(text)))
     if "n_chars" in given.names:
         n = given.at("n_chars")
         rows = rows.withColumn(n, F.when(cut_short, F.length(text).cast(rows.schema[n].dataType)).otherwise(F.col(n)))
-    return given.restored(rows)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return given.restored(rows.repartition(parts, "__shard").sortWithinPartitions("__shard", "__place"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "shard")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "shard", "position")

@@ -358,14 +358,43 @@ def test_mixture(spark, texts, docs):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixture.mix(docs).collect()))
 
 
+def test_mixture_draws_permuted_blocks(spark):
+    """Against plain Python: blocks of a source and shard in hash order until the shard's quota is met."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 3, 500, 512, 513, 1500, 4000])), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)] + [(7000, "again and again", "a")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn = mixture.draw(docs).collect()
+    assert len(drawn) == 400 and len({r.shard for r in drawn if r.doc_id == 7000}) == len({r.shard for r in drawn})
+    for r in drawn:
+        spans = [(p.start, p.start + p.n) for p in r.pieces]
+        assert all(a % 512 == 0 and b <= r["size"] and b - a <= 512 for a, b in spans) and len(set(spans)) == len(spans)
+        assert r.extra == sum(b - a for a, b in spans) and r.taken == r.passes * r["size"] + r.extra
+    by = collections.defaultdict(list)
+    for r in drawn:
+        by[r.source, r.shard].append(r)
+    # in a source's shard one block at most is cut short, all others are whole or not drawn
+    for group in by.values():
+        short = sum(p.n < min(512, r["size"] - p.start) for r in group for p in r.pieces)
+        assert short <= 1
+    some = [r for r in drawn if 0 < r.extra < r["size"]]
+    assert any(p.start > 0 and r.pieces[0].start > 0 for r in some for p in r.pieces)  # not prefixes alone
+    places = collections.defaultdict(list)
+    for r in mixture.mix(docs).collect():
+        places[r.shard].append(r.position)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def test_mixed_documents(docs, texts):
     takes = {r.doc_id: (r.taken, r["size"]) for r in mixture.mix(docs).collect()}
     out = collections.defaultdict(list)
-    for r in mixture.mixed_documents(extra(docs)).collect():
-        assert texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
+    rows = mixture.mixed_documents(extra(docs)).collect()
+    for r in rows:
+        assert r.text in texts[r.doc_id] and r.n_chars == len(r.text)
         out[r.doc_id].append(r.text)
     for i, (taken, _) in takes.items():
         assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in out[i]) == taken
+    ids = [r.doc_id for r in rows]
+    assert ids != sorted(ids) and [r.doc_id for r in mixture.mixed_documents(docs).collect()] == ids
 
 
 def test_hypergeometric(spark):
@@ -387,7 +416,7 @@ def test_split_quotas_add_up(spark):
     for s, _, n in leaves:
         total[s] += n
     quotas = {"a": total["a"] // 3, "b": 0, "c": total["c"]}
-    got = mixture.split_quotas(spark.createDataFrame(leaves, "sk string, shard long, blocks long"), spark.createDataFrame(list(quotas.items()), "sk string, quota long"), 6, 9).collect()
+    got = mixture.split_quotas(spark.createDataFrame(leaves, "sk string, shard long, cells long"), spark.createDataFrame(list(quotas.items()), "sk string, quota long"), 6, 9).collect()
     of = {(s, h): n for s, h, n in leaves}
     sums = collections.Counter()
     for r in got:
@@ -400,6 +429,8 @@ def test_mixture_odd(odd):
     rows = mixture.mix(extra(odd)).collect()
     assert len(rows) == 8 and all(0 <= r.taken <= 2 * r["size"] for r in rows)
     assert mixture.mix(odd.limit(0)).count() == 0 and mixture.mixed_documents(odd).columns == odd.columns
+    out = mixture.mixed_documents(extra(odd))
+    assert out.columns == extra(odd).columns and all(len(r[1].split()) for r in out.collect()) and mixture.mixed_documents(odd.limit(0)).count() == 0
 
 
 def held_out(spark, got, label):
