@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import ann, chat, exact, linedup, mixture, packing, planes, quality, simhash, tokens, toxicity
 from marginalia.operators.components import connected_components
+from marginalia.storage import cut
 
 DIR = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -553,6 +554,29 @@ def test_exact_index_grows(spark):
     assert index.rows().count() == 3
     plan = two.select(exact.digest_of(F.col("text")).alias("digest")).join(spark.table(index.table).select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
+    plan = index.of(cut(two.select(exact.digest_of(F.col("text")).alias("digest")).distinct(), "digests"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("hashpartitioning(digest") == 1  # the index itself is not shuffled
+    tables = [t.name for t in spark.catalog.listTables()]
+    assert exact.exact_groups(two).count() == 3 and [t.name for t in spark.catalog.listTables()] == tables
+
+
+def test_exact_index_is_kept_and_locked(spark, tmp_path):
+    """An index in a folder is opened again; a second writer fails and changes nothing."""
+    path = f"file://{tmp_path}/index"
+    one = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    two = spark.createDataFrame([(3, "ab"), (4, "d")], "doc_id long, text string")
+    first = exact.DigestIndex(spark, "kept_index", 5, path)
+    exact.exact_groups(one, first).collect()
+    first.forget()
+    again = exact.DigestIndex(spark, "kept_index", path=path)
+    assert again.buckets == 5
+    (tmp_path / "index" / "_lock").touch()
+    with pytest.raises(RuntimeError, match="another writer"):
+        exact.exact_groups(two, again)
+    (tmp_path / "index" / "_lock").unlink()
+    assert {r.doc_id: r.keep_id for r in exact.exact_groups(two, again).collect()} == {3: 1, 4: 4}
+    assert again.rows().count() == 3 and not (tmp_path / "index" / "_lock").exists()
+    again.forget()
 
 
 def test_pipeline(spark, texts):
