@@ -75,41 +75,58 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_weights(rows: list[tuple[float, set[str]]], vocabulary: list[str]) -> Model:
-    """Full-batch descent (Adam) on loss, L2 and counterfactual penalty.  One class alone: the prior."""
+class Problem:
+    """Labelled word sets as arrays: which words each text has, and what changes in each of its counterfactuals."""
+
+    def __init__(self, rows: list[tuple[float, set[str]]], place: dict[str, int]):
+        at, col, pair, pcol, sign = [], [], [], [], []
+        self.pairs = 0
+        for i, (_, words) in enumerate(rows):
+            here = sorted(words & place.keys())
+            at += [i] * len(here)
+            col += [place[w] for w in here]
+            for other in counterfactuals(words):
+                for extra, s in ((words - other, 1.0), (other - words, -1.0)):
+                    known = sorted(extra & place.keys())
+                    pair += [self.pairs] * len(known)
+                    pcol += [place[w] for w in known]
+                    sign += [s] * len(known)
+                self.pairs += 1
+        self.at, self.col, self.pair, self.pcol, self.sign = np.array(at, int), np.array(col, int), np.array(pair, int), np.array(pcol, int), np.array(sign, float)
+        self.y = np.array([r[0] for r in rows], float)
+        self.n, self.v = len(rows), len(place)
+        self.weight = np.where(self.y == 1, 0.5 / self.y.mean(), 0.5 / (1 - self.y.mean()))  # the classes count alike
+
+    def objective(self, w: np.ndarray, pairing: float) -> tuple[float, np.ndarray]:
+        """Loss, L2 and the mean squared change of the logits under counterfactuals, and their gradient; the bias is the last weight."""
+        z = np.clip(w[self.v] + np.bincount(self.at, w[self.col], self.n), -40, 40)
+        q = 1 / (1 + np.exp(-z))
+        r = self.weight * (q - self.y) / self.n
+        loss = float((self.weight * (np.logaddexp(0, z) - self.y * z)).sum() / self.n + 0.5 * L2 * (w[: self.v] ** 2).sum())
+        g = np.append(np.bincount(self.col, r[self.at], self.v) + L2 * w[: self.v], r.sum())
+        if self.pairs:
+            gap = np.bincount(self.pair, self.sign * w[self.pcol], self.pairs)
+            loss += pairing / self.pairs * float((gap**2).sum())
+            g[: self.v] += 2 * pairing / self.pairs * np.bincount(self.pcol, self.sign * gap[self.pair], self.v)
+        return loss, g
+
+
+def fit_weights(rows: list[tuple[float, set[str]]], vocabulary: list[str], pairing: float = PAIRING) -> Model:
+    """Full-batch descent (Adam) on ``Problem.objective``.  One class alone: the prior."""
     y = np.array([r[0] for r in rows], float)
     prior = (y.sum() + 1) / (len(y) + 2)
     bias = float(np.log(prior / (1 - prior)))
     if not len(y) or y.min() == y.max():
         return Model(bias, {})
     place = {w: i for i, w in enumerate(vocabulary)}
-    at, col, pair, pcol, sign = [], [], [], [], []
-    pairs = 0
-    for i, (_, words) in enumerate(rows):
-        here = words & place.keys()
-        at += [i] * len(here)
-        col += [place[w] for w in sorted(here)]
-        for other in counterfactuals(words):
-            for extra, s in ((words - other, 1.0), (other - words, -1.0)):
-                known = sorted(extra & place.keys())
-                pair += [pairs] * len(known)
-                pcol += [place[w] for w in known]
-                sign += [s] * len(known)
-            pairs += 1
-    at, col, pair, pcol, sign = np.array(at, int), np.array(col, int), np.array(pair, int), np.array(pcol, int), np.array(sign, float)
-    n, v = len(y), len(vocabulary)
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # the classes count alike
-    w, b, m1, m2 = np.zeros(v + 1), 0.0, np.zeros(v + 1), np.zeros(v + 1)
+    problem = Problem(rows, place)
+    w = np.zeros(problem.v + 1)
+    m1, m2 = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        z = w[v] + np.bincount(at, w[col], n)
-        r = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        g = np.append(np.bincount(col, r[at], v) + L2 * w[:v], r.sum())
-        if pairs:
-            gap = np.bincount(pair, sign * w[pcol], pairs)
-            g[:v] += 2 * PAIRING / pairs * np.bincount(pcol, sign * gap[pair], v)
+        g = problem.objective(w, pairing)[1]
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         w -= RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    return Model(float(w[v]), {x: float(w[i]) for x, i in place.items() if abs(w[i]) > 1e-6})
+    return Model(float(w[problem.v]), {x: float(w[i]) for x, i in place.items() if abs(w[i]) > 1e-6})
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

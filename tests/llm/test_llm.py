@@ -466,16 +466,93 @@ def test_classifiers_odd(spark, odd):
     assert quality.keep_good(extra(odd), trees, 0.0).columns == extra(odd).columns and quality.keep_good(odd, trees, 0.0).count() == 8
 
 
+def test_trees_against_a_walk():
+    """Array traversal against a walk node by node in plain Python."""
+    rng = np.random.default_rng(2)
+    trees, depth, width = 7, 3, 5
+    model = quality.Trees(0.3, rng.integers(0, width, (trees, 7)), rng.choice([-0.5, 0.0, 0.5, np.inf], (trees, 7)), rng.normal(size=(trees, 8)))
+    x = rng.normal(size=(200, width)).round(1)
+    for row, got in zip(x, model.raw(x)):
+        total = 0.3
+        for t in range(trees):
+            node = 0
+            for _ in range(depth):
+                node = 2 * node + (2 if row[model.feature[t, node]] > model.threshold[t, node] else 1)
+            total += model.value[t, node - 7]
+        assert abs(total - got) < 1e-9
+
+
+def test_first_split_against_exhaustive_search():
+    """The root of the first tree has the best gain of all splits between values, and leaves are Newton steps."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 6, (120, 4)).astype(float)  # few values: every split between them is at a bin's edge
+    y = ((x[:, 2] > 2) ^ (rng.random(120) < 0.1)).astype(float)
+    got = quality.fit_trees(x, y, 1, 1)
+    p = (y.sum() + 1) / (len(y) + 2)
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + quality.LAMBDA)
+    gains = {}
+    for f in range(4):
+        for cut_at in np.unique(x[:, f])[:-1]:
+            left = x[:, f] <= cut_at
+            if left.sum() >= quality.LEAST_LEAF and (~left).sum() >= quality.LEAST_LEAF:
+                gains[f, cut_at] = score(left) + score(~left) - score(left | ~left)
+    f, threshold = got.feature[0, 0], got.threshold[0, 0]
+    left = x[:, f] <= threshold
+    best = max(gains, key=gains.get)
+    assert f == best[0] == 2 and (left == (x[:, f] <= best[1])).all()
+    want = [-quality.RATE * g[m].sum() / (h[m].sum() + quality.LAMBDA) for m in (left, ~left)]
+    assert np.allclose(got.value[0], want)
+
+
 def test_toxicity(spark):
     got = toxicity.query(spark, DIR).collect()
+    labels = {r[0]: r[1] for r in spark.read.parquet(f"{DIR}/labels.parquet").select("doc_id", "toxic").collect()}
     assert len(got) == 1000 and held_out(spark, got, "toxic") >= 0.9
+    pairs = [(r.predicted, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    caught = [p for p, y in pairs if y == 1]
+    alarms = [p for p, y in pairs if y == 0]
+    assert caught and sum(caught) >= 0.6 * len(caught) and sum(alarms) <= 0.03 * len(alarms)
+
+
+def neutral_rows():
+    """A group is named in most toxic texts, others in clean ones: what a plain model learns from the names."""
+    rows = [(1.0, {"muslim", "awful"})] * 30 + [(0.0, {"christian", "fine"})] * 30 + [(1.0, {"awful"})] * 20 + [(0.0, {"fine"})] * 20 + [(1.0, {"muslim", "odd"})] * 10 + [(0.0, set())] * 4
+    return rows, sorted({"awful", "fine", "odd"} | toxicity.SWAPS.keys())
+
+
+def test_toxicity_gradient():
+    """The gradient against finite differences, with and without the penalty."""
+    rows, vocabulary = neutral_rows()
+    problem = toxicity.Problem(rows, {w: i for i, w in enumerate(vocabulary)})
+    rng = np.random.default_rng(0)
+    w = rng.normal(size=len(vocabulary) + 1)
+    assert problem.pairs == 2 * 70
+    for pairing in (0.0, 1.0, 3.0):
+        g = problem.objective(w, pairing)[1]
+        for i in [len(vocabulary), *rng.choice(len(vocabulary), 25, replace=False).tolist(), vocabulary.index("muslim"), vocabulary.index("christian")]:
+            step = np.zeros_like(w)
+            step[i] = 1e-5
+            want = (problem.objective(w + step, pairing)[0] - problem.objective(w - step, pairing)[0]) / 2e-5
+            assert abs(g[i] - want) < 1e-6
 
 
 def test_toxicity_counterfactuals():
-    rows = [(1.0, {"muslim", "awful"})] * 30 + [(0.0, {"christian", "fine"})] * 30 + [(1.0, {"awful"})] * 20 + [(0.0, {"fine"})] * 20
-    model = toxicity.fit_weights(rows, sorted({"awful", "fine"} | toxicity.SWAPS.keys()))
-    assert abs(model.weights.get("muslim", 0) - model.weights.get("christian", 0)) < 0.3
-    assert model.score(["a muslim here"])[0] < 0.5 + 0.2 and model.score(["awful"])[0] > 0.9 > 0.1 > model.score(["fine"])[0]
+    """The penalty narrows the gap between groups and clears neutral mentions; what is toxic stays so."""
+    rows, vocabulary = neutral_rows()
+    plain, paired = toxicity.fit_weights(rows, vocabulary, 0.0), toxicity.fit_weights(rows, vocabulary)
+    gap = lambda m: abs(m.logit("a muslim here") - m.logit("a christian here"))
+    assert gap(plain) > 2 > 0.3 > gap(paired)
+    neutral = ["muslim neighbours", "our muslim friends came", "a muslim here"]
+    assert (plain.score(neutral) > 0.5).all() and (paired.score(neutral) < 0.2).all()
+    assert paired.score(["awful"])[0] > 0.9 > 0.1 > paired.score(["fine"])[0]
+
+
+def test_toxicity_counterfactual_words():
+    for w, others in toxicity.SWAPS.items():
+        swapped = toxicity.counterfactuals({w, "plain"})
+        assert len(swapped) == toxicity.VERSIONS and all(w not in s and "plain" in s and s - {"plain"} <= set(others) for s in swapped)
+    assert toxicity.counterfactuals({"plain"}) == []
 
 
 def check_pieces(pieces, capacity):
@@ -592,6 +669,39 @@ def test_pipeline(spark, texts):
     assert {r.doc_id for r in rows} <= {i for i, s in scores.items() if s >= 0.3}
 
 
+def test_pipeline_odd(spark, odd, tmp_path):
+    """Each stage, and all in turn, over nulls, empty and long texts, ties, repeated rows, clashing names and empty tables."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(4, 1, 0), (5, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d = f"file://{tmp_path}"
+    for table in (odd, extra(odd), odd.limit(0)):
+        given = cut(table, "odd")
+        n = given.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, given, d)
+            rows = out.collect()
+            if name == "packing":
+                check_pieces([(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in rows], 4096)
+                assert sum(r.start == 0 for r in rows) == n
+            else:
+                assert out.columns == given.columns and (n or not rows)
+            if name in ("exact_dedup", "near_dedup"):
+                assert len(rows) == (4 if n else 0)  # blank texts, both spellings of one, the long one and the last
+        given.write.parquet(f"{tmp_path}/documents.parquet", mode="overwrite")
+        assert corpus_pipeline.run(spark, d).columns == packing.pack(given).columns
+
+
+def test_near_copies_odd(odd):
+    """Null, empty and blank texts are copies of one another; a long text, ties and clashing names do no harm."""
+    rows = simhash.similar_groups(extra(odd)).collect()
+    assert len(rows) == 8 and sum(r.kept for r in rows) == 4
+    assert {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1} and {r.component_id for r in rows if r.doc_id in (5, None)} == {5}
+    out = simhash.drop_near_copies(extra(odd))
+    assert out.columns == extra(odd).columns and {r[0] for r in out.collect()} == {1, 4, 5, 6}
+    assert simhash.drop_near_copies(odd.limit(0)).count() == 0
+
+
 def test_similar_groups(spark):
     rng = random.Random(8)
     rows = []
