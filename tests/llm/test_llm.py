@@ -676,8 +676,7 @@ def test_pipeline_odd(spark, odd, tmp_path):
     spark.createDataFrame([(4, 1, 0), (5, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     d = f"file://{tmp_path}"
     for table in (odd, extra(odd), odd.limit(0)):
-        given = cut(table, "odd")
-        n = given.count()
+        given, n = table, table.count()
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, given, d)
             rows = out.collect()
@@ -688,8 +687,10 @@ def test_pipeline_odd(spark, odd, tmp_path):
                 assert out.columns == given.columns and (n or not rows)
             if name in ("exact_dedup", "near_dedup"):
                 assert len(rows) == (4 if n else 0)  # blank texts, both spellings of one, the long one and the last
-        given.write.parquet(f"{tmp_path}/documents.parquet", mode="overwrite")
-        assert corpus_pipeline.run(spark, d).columns == packing.pack(given).columns
+        if "TEXT" not in given.columns:  # such a table has no file
+            given.write.parquet(f"{tmp_path}/documents.parquet", mode="overwrite")
+            out = corpus_pipeline.run(spark, d)
+            assert out.columns == packing.pack(given).columns and (out.count() > 0) == (n > 0)
 
 
 def test_near_copies_odd(odd):
