@@ -317,15 +317,18 @@ def _prefixed(common: np.ndarray, similarity: float):
     return run
 
 
-def _common(rows: DataFrame, sample: int = 8192, most: int = 32768) -> np.ndarray:
-    """Shingles met three times or more in a sample, most frequent last: only an order, on which no result depends."""
+def _common(rows: DataFrame, sample: int = 32768, most: int = 1 << 17) -> np.ndarray:
+    """Shingles met three times or more in a sample, most frequent last: only an order, on which no result depends.
+
+    At most ``most`` numbers of four bytes go to the workers.
+    """
     share = min(1.0, sample / max(1, rows.count()))
     seen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.explode("s").alias("w"))
     found = seen.groupBy("w").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "w").limit(most)
     return np.array([r.w for r in found.collect()][::-1], np.int32)
 
 
-def similar_links(rows: DataFrame, copies: DataFrame, similarity: float, dense: int = 64, rounds: int = 6) -> DataFrame:
+def similar_links(rows: DataFrame, copies: DataFrame, similarity: float, dense: int = 256, rounds: int = 6) -> DataFrame:
     """(a, b): links with the components of the graph of all pairs of sets ``s`` (named ``id``, all but ``copies`` distinct) that have the similarity.
 
     Pairs that share a prefix shingle are the candidates, and lose none.  Of
@@ -334,22 +337,23 @@ def similar_links(rows: DataFrame, copies: DataFrame, similarity: float, dense:
     with a set so far from it that, by the triangle inequality of the Jaccard
     distance, they can't be similar to that.  The rest goes on to the next
     round, by all pairs where it has ``dense`` sets or fewer, or none of the
-    ``rounds`` is left.
+    ``rounds`` is left.  As shingles go by rarity, a rest is mostly that small,
+    so there are two rounds.
     """
     every = empty(rows.sparkSession, "a long, b long")
     at = new_folder(rows.sparkSession, "near")
     put = lambda df, name: cut(df, name, f"{at}/{name}-{k}")
+    ratio = lambda x, y: F.least(x, y) / F.greatest(x, y)
     k = 0
     held = put(rows.join(copies, "id", "left_anti").select("id", "s").mapInArrow(_prefixed(_common(rows), similarity), "w int, id long, n int, lead boolean"), "prefixes")
     for k in range(rounds + 1):
         tops = held.groupBy("w").agg(F.count("*").alias("m"), F.min(F.when(F.col("lead"), F.struct("id", "n"))).alias("root")).where("m > 1 and root is not null")
-        star = put(held.join(tops, "w"), "stars")
+        star = put(held.join(tops, "w").withColumn("last", F.lit(k == rounds) | ((F.col("m") <= dense) & F.lit(k > 0))), "stars")
         if star.isEmpty():
             break
-        ratio = lambda x, y: F.least(x, y) / F.greatest(x, y)
-        last = F.lit(k == rounds) | ((F.col("m") <= dense) & F.lit(k > 0))
-        few = star.where(last)
-        star = star.where(~last & (F.col("id") != F.col("root.id"))).withColumn("a", F.least("id", "root.id")).withColumn("b", F.greatest("id", "root.id"))
+        few = star.where("last")
+        goes_on = k < rounds and (k == 0 or not star.where("not last").isEmpty())
+        star = star.where(~F.col("last") & (F.col("id") != F.col("root.id"))).withColumn("a", F.least("id", "root.id")).withColumn("b", F.greatest("id", "root.id"))
         star = star.withColumn("most", ratio(F.col("n"), F.col("root.n")))
         pairs = star.where(F.col("most") >= similarity).select("a", "b")
         if k:
@@ -362,13 +366,15 @@ def similar_links(rows: DataFrame, copies: DataFrame, similarity: float, dense:
         shared = F.size(F.array_intersect("sa", "sb"))
         scored = cut(joined.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("found")), "scored")
         every = every.unionByName(scored.where(F.col("found") >= similarity).select("a", "b"))
-        judged = star.join(scored, ["a", "b"], "left").select("w", "id", "n", "lead", F.coalesce("found", "most").alias("found"))
-        judged = put(judged, "judged")
-        failed = judged.where(F.col("found") < similarity).groupBy("w").agg(F.max("found").alias("nearest"))
-        held = judged.join(failed, "w").where((F.col("found") < similarity) | (F.col("found") <= F.col("nearest") + (1 - similarity + 1e-9))).select("w", "id", "n", "lead")
-        held = cut(held, "untested")
+        if goes_on:
+            judged = put(star.join(scored, ["a", "b"], "left").select("w", "id", "n", "lead", F.coalesce("found", "most").alias("found")), "judged")
+            failed = judged.where(F.col("found") < similarity).groupBy("w").agg(F.max("found").alias("nearest"))
+            held = judged.join(failed, "w").where((F.col("found") < similarity) | (F.col("found") <= F.col("nearest") + (1 - similarity + 1e-9))).select("w", "id", "n", "lead")
+            held = cut(held, "untested")
         for name in ("prefixes", "stars", "candidates", "shingles", "judged"):
             remove_folder(rows.sparkSession, f"{at}/{name}-{k}")
+        if not goes_on:
+            break
     return every
 
 
