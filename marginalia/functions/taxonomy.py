@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import collapse
+from marginalia.functions.keys import identity_fold
 
 # The rules in their order, first match wins.
 TREES = [("arborist documentation", "arborist|report|monitor|inspection|documentation|submit"), ("tree protection and impact mitigation", "protect|protection|fenc|root|excavat|impact|prun|preserv"), ("tree removal and inventory", "remov|circumference|inventory|tree id|label|size|classification")]
@@ -34,9 +34,14 @@ def _whole(c: Column, words: str) -> Column:
 
 
 def classify_topic(text: Column, discipline: Column) -> Column:
-    """struct(topic_id, parent, aspect)."""
-    body = F.lower(collapse(F.coalesce(text, F.lit(""))))
-    value = F.lower(collapse(F.concat_ws(" ", F.coalesce(discipline, F.lit("")), F.coalesce(text, F.lit("")))))
+    """struct(topic_id, parent, aspect), from the folded text alone for aspects and with the discipline before it for topics.
+
+    The folding is one Arrow function, so each pattern reads a column that is
+    there already.  One pattern over all topics' words comes first: most texts
+    have none, and need no other.
+    """
+    body, field = identity_fold(F.coalesce(text, F.lit(""))), F.coalesce(discipline, F.lit(""))
+    either = lambda words: _whole(body, words) | _whole(F.lower(field), words) | _whole(F.concat_ws(" ", F.lower(field), F.substring(body, 1, 40)), words)
     topic = lambda i, p, a: F.struct(F.lit(i).alias("topic_id"), F.lit(p).alias("parent"), F.lit(a).alias("aspect"))
 
     def aspects(prefix: str, parent: str, rules: list, last: str) -> Column:
@@ -45,14 +50,16 @@ def classify_topic(text: Column, discipline: Column) -> Column:
             out = out.when(_whole(body, words), topic(f"{prefix}_{_slug(aspect)}", parent, aspect))
         return out.otherwise(topic(f"{prefix}_{_slug(last)}", parent, last))
 
-    found = F.when(_whole(value, TREE_WORDS), aspects("TREES", "Trees", TREES, "tree review")).when(_whole(value, DOOR_WORDS), aspects("DOORS", "Doors", DOORS, "door schedule and labeling"))
-    for i, parent, aspect, words in RULES:
-        found = found.when(_whole(value, words), topic(i, parent, aspect))
-    parent = F.initcap(F.trim(F.coalesce(discipline, F.lit(""))))
+    parent = F.initcap(F.trim(field))
     parent = F.when(parent == "", "General").otherwise(parent)
     aspect = F.concat(F.lower(parent), F.lit(" review"))
     slug = F.regexp_replace(F.regexp_replace(F.upper(aspect), "[^A-Z0-9]+", "_"), "^_+|_+$", "")
-    return found.otherwise(F.struct(F.concat(F.lit("GENERAL_"), slug).alias("topic_id"), parent.alias("parent"), aspect.alias("aspect")))
+    general = F.struct(F.concat(F.lit("GENERAL_"), slug).alias("topic_id"), parent.alias("parent"), aspect.alias("aspect"))
+    found = F.when(~either("|".join([TREE_WORDS, DOOR_WORDS, *(r[3] for r in RULES)])), general)
+    found = found.when(either(TREE_WORDS), aspects("TREES", "Trees", TREES, "tree review")).when(either(DOOR_WORDS), aspects("DOORS", "Doors", DOORS, "door schedule and labeling"))
+    for i, name, aspect_, words in RULES:
+        found = found.when(either(words), topic(i, name, aspect_))
+    return found.otherwise(general)
 
 
 def classify_words(tokens: Column, technical: list[str], administrative: list[str]) -> Column:

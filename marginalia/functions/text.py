@@ -72,6 +72,12 @@ def fold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: " ".join(html.unescape(unicodedata.normalize("NFKC", v or "")).split()).casefold())
 
 
+@pandas_udf(StringType())
+def unescaped(values: pd.Series) -> pd.Series:
+    """NFKC and entities, for display: blanks and case stay."""
+    return values.map(lambda v: v if not v or (v.isascii() and "&" not in v) else html.unescape(unicodedata.normalize("NFKC", v)))
+
+
 @pandas_udf(StringType())
 def accent_free(values: pd.Series) -> pd.Series:
     """Case-folded without accents, outer blanks, commas and stops: the key of a city's name."""
@@ -83,6 +89,11 @@ def accent_free(values: pd.Series) -> pd.Series:
     return values.map(key)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "\\s+", " "))
 
@@ -114,7 +125,7 @@ def has_progression_language(normal: Column) -> Column:
 
 def extraction_fingerprint(normal: Column) -> Column:
     """The normal text without filler words; order and repetitions stay."""
-    return F.array_join(F.filter(identity_tokens(normal), lambda t: ~t.isin(FILLERS)), " ")
+    return F.array_join(F.filter(F.regexp_extract_all(normal, F.lit("[a-z0-9]+(?:[./'’-][a-z0-9]+)*"), F.lit(0)), lambda t: ~t.isin(FILLERS)), " ")
 
 
 def row_parameters(normal: Column) -> Column:
@@ -187,17 +198,22 @@ def role_family(role: Column, event_type: Column) -> Column:
 
 
 def recurring_title(c: Column) -> Column:
-    """A card's title: prefixes off, the first sentence, 110 characters at most, cut at a word."""
+    """A card's title from a text fit for display: prefixes off, the first sentence, 110 characters at most, cut at a word."""
     v = F.regexp_replace(c, "^\\s*\\(?[A-Z]\\)?(?:[.:]|\\s+)\\s*", "")
     v = F.regexp_replace(v, "(?i)^\\s*PC[0-9]+\\s*[-:]\\s*", "")
     v = F.regexp_replace(v, "(?i)^\\s*#[0-9]+\\s*(?:continue)?\\s*", "")
     v = F.regexp_replace(v, "^\\s*[0-9]+\\s*[.)]\\s+", "")
     v = F.regexp_replace(collapse(v), "^[ .:\\-]+|[ .:\\-]+$", "")
-    first = F.trim(F.regexp_extract(v, "^(.*?)(?:(?<=[.!?])\\s|$)", 1))
-    colon = F.instr(first, ":")
-    first = F.when((colon > 0) & (colon <= 43), F.trim(F.substring(first, colon + 1, F.length(first)))).otherwise(first)
-    short = F.concat(F.regexp_replace(F.substring(first, 1, 107), " [^ ]*$", ""), F.lit("…"))
-    return F.when(first == "", "Recurring review issue").when(F.length(first) > 110, short).otherwise(first)
+
+    def shorten(first: Column) -> Column:
+        cut = F.concat(F.regexp_replace(F.substring(first, 1, 107), " [^ ]*$", ""), F.lit("…"))
+        return F.when(first == "", "Recurring review issue").when(F.length(first) > 110, cut).otherwise(first)
+
+    def after_colon(first: Column) -> Column:
+        colon = F.instr(first, ":")
+        return let(F.when((colon > 0) & (colon <= 43), F.trim(F.substring(first, colon + 1, F.length(first)))).otherwise(first), shorten)
+
+    return let(F.trim(F.regexp_extract(v, "^(.*?)(?:(?<=[.!?])\\s|$)", 1)), after_colon)
 
 
 def confidence_label(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import similarity as S
 from marginalia.functions import text as X
 from marginalia.operators.components import connected_components
-from marginalia.plans.records import records, sql, table
+from marginalia.plans.records import normal_sql, records, sql, table
 from marginalia.storage import cut
 
 
@@ -44,32 +44,59 @@ def event_key_repeats(df: DataFrame) -> DataFrame:
     return mark_duplicates(normal.where("normal <> ''").withColumn("key", key), ["project_id", "review_round", "key"]).drop("key", "normal")
 
 
-def near_pairs(df: DataFrame, block: list[str], least: float = 0.9) -> DataFrame:
-    """Pairs of records of a block whose words contain one another, with their match class.
+def near_pairs(df: DataFrame, block: list[str]) -> DataFrame:
+    """Pairs of records of a block that are high-confidence duplicates: left, right, signals, sequence, match.
 
-    Candidates come from an equi-join on the rarest words of each record, not
-    from all pairs of a block: two word sets with containment ``least`` share
-    one of the first ``n - ceil(least * n) + 1`` words of either in a common
-    order by rarity, for equal sizes; sizes may differ by the length rule.
-    Cheap tests go before the sequence ratio, which sees the survivors only.
+    Such pairs have bags of words whose Jaccard similarity is 0.90 at least.
+    Bags are made sets by numbering (the second ``the`` is a word of its own),
+    and of two sets that near each other the first ``n - ceil(0.9 * n) + 1``
+    words, rarest first, have one in common: candidates come from an equi-join
+    on those, and none is missed.  Cheap tests go before the sequence ratio.
+    Records of equal normal text are told by their least id, ``text_members``
+    says by which.
     """
-    base = df.withColumn("normal", X.normalize_event_text("text")).where("normal <> ''")
-    base = cut(base.groupBy(*block, "normal").agg(F.min("comment_id").alias("comment_id"), F.count("*").alias("copies")), "normal")
-    words = base.select(*block, "comment_id", F.explode(F.array_distinct(F.split("normal", " "))).alias("w"))
-    rarity = words.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = words.join(rarity, "w")
-    order = Window.partitionBy("comment_id").orderBy("df", "w")
-    sized = ranked.withColumn("k", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("comment_id")))
-    # Jaccard of 0.84 * 0.9 / (2 - 0.9) at least follows from the class rules; the prefix is for that bound
-    prefix = sized.where(F.col("k") <= F.col("n") - F.ceil(F.lit(S.LENGTH_RATIO * least) * F.col("n")) + 1)
-    a, b = prefix.select(*block, "w", F.col("comment_id").alias("left")), prefix.select(*block, "w", F.col("comment_id").alias("right"))
-    pairs = cut(a.join(b, [*block, "w"]).where("left < right").select("left", "right").distinct(), "pairs")
+    base = text_members(df, block).where("comment_id = of").select(*block, "comment_id", "normal")
+    base = cut(base, "normal")
     full = cut(base.join(S.bags(base, ["comment_id"], S.words(F.col("normal"))), "comment_id"), "bags")
-    one = lambda side: full.select(F.col("comment_id").alias(side), F.col("normal").alias(f"{side}_text"), F.col("bag").alias(f"{side}_bag"))
-    joined = pairs.join(one("left"), "left").join(one("right"), "right").withColumn("signals", S.bag_signals(F.col("left_bag"), F.col("right_bag")))
-    kept = cut(joined.drop("left_bag", "right_bag").where((F.col("signals.containment") >= least) & (F.col("signals.length_ratio") >= S.LENGTH_RATIO)), "survivors")
-    kept = kept.withColumn("sequence", S.sequence_ratio("left_text", "right_text"))
-    return kept.withColumn("match", S.match_class(F.col("left_text"), F.col("right_text"), F.col("signals"), F.col("sequence"))).select("left", "right", "signals", "sequence", "match")
+    words = full.select(*block, "comment_id", F.size("bag").alias("n"), F.explode("bag").alias("w"))
+    often = words.groupBy(*block, "w").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = words.join(often, [*block, "w"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("comment_id").orderBy("df", "w"))
+    prefix = ranked.withColumn("k", place).where((F.col("k") <= F.col("n") - F.ceil(F.lit(S.JACCARD) * F.col("n") - 1e-9) + 1) & (F.col("df") > 1))
+    a, b = (prefix.select(*block, "w", F.col("comment_id").alias(side), F.col("n").alias(f"{side}_n")) for side in ("left", "right"))
+    met = a.join(b, [*block, "w"]).where("left < right").where(F.least("left_n", "right_n") >= S.JACCARD * F.greatest("left_n", "right_n"))
+    pairs = cut(met.select("left", "right").distinct(), "pairs")
+    n = F.col("normal")
+    side = lambda s: full.select(F.col("comment_id").alias(s), F.col("normal").alias(f"{s}_text"), F.col("bag").alias(f"{s}_bag"), F.array_join(X.parameter_tokens(n), ",").alias(f"{s}_p"), F.array_join(X.negation_tokens(n), ",").alias(f"{s}_n"), X.has_progression_language(n).alias(f"{s}_g"))
+    joined = pairs.join(side("left"), "left").join(side("right"), "right").where("left_p = right_p and left_n = right_n and left_g = right_g")
+    joined = joined.withColumn("signals", S.bag_signals(F.col("left_bag"), F.col("right_bag")))
+    high = (F.col("signals.containment") >= S.CONTAINMENT) & (F.col("signals.jaccard") >= S.JACCARD) & (F.col("signals.length_ratio") >= S.LENGTH_RATIO)
+    kept = cut(joined.select("left", "right", "left_text", "right_text", "signals").where(high), "survivors")
+    kept = kept.withColumn("sequence", S.sequence_ratio("left_text", "right_text")).where(F.col("sequence") >= S.SEQUENCE)
+    return kept.select("left", "right", "signals", "sequence", F.lit("HIGH_CONFIDENCE_DUPLICATE").alias("match"))
+
+
+def text_members(df: DataFrame, block: list[str]) -> DataFrame:
+    """Each record with a normal text, and the least id of its block's records of that text (of)."""
+    base = cut(df.select(*block, "comment_id", X.normalize_event_text("text").alias("normal")).where("normal <> ''"), "members")
+    least = base.groupBy(*block, "normal").agg(F.min("comment_id").alias("of"), F.count("*").alias("copies"))
+    return base.join(least, [*block, "normal"])
+
+
+def possible_pairs(df: DataFrame, block: list[str]) -> DataFrame:
+    """Pairs of a block's distinct texts of equal numbers, negations and progression whose sequences agree at 0.90, for a person to compare.
+
+    The ratio is of characters, which no shared word bounds; so these are all
+    pairs of a block that its numbers leave, and a block is to be an issue's
+    thread.  Lengths and counts of characters rule pairs out before the ratio.
+    """
+    base = cut(text_members(df, block).where("comment_id = of"), "texts")
+    n = F.col("normal")
+    marks = F.concat_ws("|", F.array_join(X.parameter_tokens(n), ","), F.array_join(X.negation_tokens(n), ","), X.has_progression_language(n).cast("string"))
+    keyed = base.select(*block, F.md5(marks).alias("marks"), "comment_id", "normal", F.length("normal").alias("size"))
+    a, b = (keyed.select(*block, "marks", F.col("comment_id").alias(side), F.col("normal").alias(f"{side}_text"), F.col("size").alias(f"{side}_size")) for side in ("left", "right"))
+    met = a.join(b, [*block, "marks"]).where("left < right").where(2 * F.least("left_size", "right_size") >= S.POSSIBLE * (F.col("left_size") + F.col("right_size")))
+    return met.withColumn("sequence", S.possible_ratio("left_text", "right_text")).where(F.col("sequence") >= S.POSSIBLE).select(*block, "left", "right", "sequence")
 
 
 def fuzzy_repeats(df: DataFrame, block: list[str]) -> DataFrame:
@@ -79,9 +106,11 @@ def fuzzy_repeats(df: DataFrame, block: list[str]) -> DataFrame:
 
 
 def content_signature(df: DataFrame, file: str, text: str) -> DataFrame:
-    """Per file, a digest of the sorted distinct texts in it."""
+    """Per file, a digest of the set of texts in it: sums of their hashes, whatever their order and number."""
     one = F.sha2(F.lower(X.collapse(F.col(text))), 256)
-    return df.groupBy(file).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(one)), ""), 256).alias("signature"), F.count("*").alias("rows"))
+    rows = df.groupBy(file, one.alias("k")).agg(F.count("*").alias("m"))
+    sums = [F.sum(F.xxhash64(F.lit(i), "k").cast("decimal(38,0)")).cast("string") for i in (1, 2)]
+    return rows.groupBy(file).agg(F.concat_ws(":", F.count("*").cast("string"), *sums).alias("signature"), F.sum("m").alias("rows"))
 
 
 def copied_sources(df: DataFrame, file: str, text: str) -> DataFrame:
@@ -91,18 +120,6 @@ def copied_sources(df: DataFrame, file: str, text: str) -> DataFrame:
     return signed.join(first, "signature").select(file, "canonical", "copies", "rows")
 
 
-def document_overlap(df: DataFrame, file: str, text: str) -> DataFrame:
-    """Pairs of files and the share of texts they have in common: above 0.98 merged, from 0.90 for review."""
-    keyed = df.select(file, F.sha2(F.lower(X.collapse(F.col(text))), 256).alias("k")).distinct()
-    sizes = keyed.groupBy(file).agg(F.count("*").alias("n"))
-    # a text of very many files says little and would make pairs of all of them: pairs go through its first file
-    first = keyed.groupBy("k").agg(F.min(file).alias("first"))
-    pairs = keyed.join(first, "k").where(F.col(file) != F.col("first")).groupBy("first", file).agg(F.count("*").alias("shared"))
-    joined = pairs.join(sizes, file).join(sizes.withColumnsRenamed({file: "first", "n": "m"}), "first")
-    share = F.col("shared") / F.greatest("n", "m")
-    return joined.select("first", file, "shared", share.alias("overlap"), F.when(share >= 0.98, "merge").when(share >= 0.90, "review").otherwise("distinct").alias("decision"))
-
-
 def best_label(df: DataFrame, key: str, label: str) -> DataFrame:
     """Per key the best label: starts with a number, more words, longer, then the least."""
     c = F.col(label)
@@ -116,6 +133,10 @@ def alias_chain(pairs: DataFrame, item: str, of: str) -> DataFrame:
     return connected_components(pairs, item, of)
 
 
+_NUMBERS = "list_sort(list_distinct(regexp_extract_all(normal, '[a-z]*[0-9]+(?:[./''’-][a-z0-9]+)*')))"
+_NEGATIONS = f"list_sort(list_distinct(list_filter(regexp_extract_all(normal, '[a-z]+'), lambda x: x IN ({', '.join(repr(w) for w in X.ROW_NEGATIONS)}))))"
+_FINGERPRINT = "array_to_string(list_filter(regexp_extract_all(normal, '[a-z0-9]+(?:[./''’-][a-z0-9]+)*'), lambda x: x NOT IN ('a', 'an', 'at', 'the', 'to')), ' ')"
+
 QUERIES = {
     "exact_repeats": (
         lambda s, d: exact_repeats(records(s, d)).select("comment_id", "duplicate_of", "group_size"),
@@ -124,23 +145,27 @@ QUERIES = {
             "k AS (SELECT comment_id, first_value(comment_id) OVER (PARTITION BY city, t ORDER BY (link_status = 'confirmed') DESC, (response_id IS NOT NULL) DESC, (trust = 'verified') DESC, comment_id) AS w, count(*) OVER (PARTITION BY city, t) AS group_size FROM (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM records))",
         ),
     ),
-    "event_key_repeats": (lambda s, d: event_key_repeats(records(s, d)).select("comment_id", "duplicate_of", "group_size"), None),
+    "event_key_repeats": (
+        lambda s, d: event_key_repeats(records(s, d)).select("comment_id", "duplicate_of", "group_size"),
+        sql(
+            "SELECT comment_id, CASE WHEN comment_id <> w THEN w END AS duplicate_of, group_size FROM k",
+            f"n AS (SELECT *, {normal_sql('text')} AS normal FROM records)",
+            f"f AS (SELECT *, {_FINGERPRINT} AS fingerprint, {_NUMBERS} AS p, {_NEGATIONS} AS g FROM n WHERE normal <> '')",
+            "k AS (SELECT comment_id, first_value(comment_id) OVER (PARTITION BY project_id, review_round, fingerprint, p, g ORDER BY (link_status = 'confirmed') DESC, (response_id IS NOT NULL) DESC, (trust = 'verified') DESC, comment_id) AS w, count(*) OVER (PARTITION BY project_id, review_round, fingerprint, p, g) AS group_size FROM f)",
+        ),
+    ),
     "near_pairs": (lambda s, d: near_pairs(records(s, d), ["city"]).select("left", "right", F.round("sequence", 6).alias("sequence"), "match"), None),
+    "text_members": (
+        lambda s, d: text_members(records(s, d), ["city"]).select("comment_id", "of", "copies"),
+        sql(f"SELECT comment_id, min(comment_id) OVER (PARTITION BY city, normal) AS of, count(*) OVER (PARTITION BY city, normal) AS copies FROM (SELECT *, {normal_sql('text')} AS normal FROM records) WHERE normal <> ''"),
+    ),
+    "possible_pairs": (lambda s, d: possible_pairs(records(s, d), ["issue_id", "city", "discipline"]).select("left", "right", F.round("sequence", 6).alias("sequence")), None),
     "copied_sources": (
         lambda s, d: copied_sources(table(s, d, "conversations"), "conv_id", "text"),
         """WITH c AS (SELECT conv_id, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS h FROM conversations),
         g AS (SELECT conv_id, sha256(string_agg(DISTINCT h, '' ORDER BY h)) AS signature, count(*) AS rows FROM c GROUP BY conv_id)
         SELECT conv_id, min(conv_id) OVER (PARTITION BY signature) AS canonical, count(*) OVER (PARTITION BY signature) AS copies, rows FROM g""",
     ),
-    "document_overlap": (
-        lambda s, d: document_overlap(table(s, d, "conversations"), "conv_id", "text").select("first", "conv_id", "shared", F.round("overlap", 6).alias("overlap"), "decision"),
-        """WITH k AS (SELECT DISTINCT conv_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM conversations),
-        n AS (SELECT conv_id, count(*) AS n FROM k GROUP BY 1), f AS (SELECT t, min(conv_id) AS first FROM k GROUP BY 1),
-        p AS (SELECT first, conv_id, count(*) AS shared FROM k JOIN f USING (t) WHERE conv_id <> first GROUP BY 1, 2)
-        SELECT p.first, p.conv_id, shared, round(shared / greatest(a.n, b.n), 6) AS overlap,
-          CASE WHEN shared / greatest(a.n, b.n) >= 0.98 THEN 'merge' WHEN shared / greatest(a.n, b.n) >= 0.9 THEN 'review' ELSE 'distinct' END AS decision
-        FROM p JOIN n a ON a.conv_id = p.conv_id JOIN n b ON b.conv_id = p.first""",
-    ),
     "best_labels": (
         lambda s, d: best_label(table(s, d, "part"), "p_brand", "p_name"),
         "SELECT p_brand, first(p_name ORDER BY CAST(regexp_matches(p_name, '^[0-9]') AS INT) DESC, len(string_split(p_name, ' ')) DESC, length(p_name) DESC, p_name) AS label FROM part GROUP BY p_brand",

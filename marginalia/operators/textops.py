@@ -9,12 +9,17 @@ from marginalia.functions import labels as L
 from marginalia.functions import similarity as S
 from marginalia.functions import taxonomy as C
 from marginalia.functions import text as X
-from marginalia.plans.records import records, sql, table
+from marginalia.plans.records import normal_sql, records, sql, table
 
+_NEGATIONS = ", ".join("'" + w.replace("'", "''") + "'" for w in X.NEGATIONS)
 _STOPS = ", ".join(f"'{w}'" for w in X.SEARCH_STOPS)
 _TOPIC = lambda col, words: f"regexp_matches({col}, '\\b({words.replace(chr(39), chr(39) * 2)})\\b')"
 
 
+_ITEM = "regexp_matches(p, '(?is)^(?:(?:PC|ITEM|COMMENT|CORRECTION)\\s*)?[0-9]{1,3}\\s*[:.)-]\\s')"
+_UNITS = f"CASE WHEN len(list_filter(parts, lambda p: {_ITEM})) < 2 OR len(list_filter(parts, lambda p: {_ITEM} AND length(p) >= 20)) = 0 THEN 1 ELSE len(list_filter(parts, lambda p: {_ITEM} AND length(p) >= 20)) END"
+
+
 def _topic_sql() -> str:
     cases = [f"WHEN {_TOPIC('v', C.TREE_WORDS)} THEN CASE " + " ".join(f"WHEN {_TOPIC('b', w)} THEN 'TREES_{C._slug(a)}'" for a, w in C.TREES) + " ELSE 'TREES_TREE_REVIEW' END"]
     cases.append(f"WHEN {_TOPIC('v', C.DOOR_WORDS)} THEN CASE " + " ".join(f"WHEN {_TOPIC('b', w)} THEN 'DOORS_{C._slug(a)}'" for a, w in C.DOORS) + " ELSE 'DOORS_DOOR_SCHEDULE_AND_LABELING' END")
@@ -26,7 +31,7 @@ def _topic_sql() -> str:
 QUERIES = {
     "identity_text": (
         lambda s, d: records(s, d).select("comment_id", F.sha2(X.normalize_event_text("text"), 256).alias("fingerprint")),
-        None,
+        sql(f"SELECT comment_id, sha256({normal_sql('text')}) AS fingerprint FROM records"),
     ),
     "search_tokens": (
         lambda s, d: records(s, d).select("comment_id", X.search_tokens(F.col("text")).alias("t")).select("comment_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("n_distinct")),
@@ -63,7 +68,7 @@ QUERIES = {
     ),
     "units": (
         lambda s, d: records(s, d).select("comment_id", F.size(X.coherent_units(F.col("text"))).alias("units")).groupBy("units").agg(F.count("*").alias("n")),
-        None,
+        sql(f"SELECT CAST(CASE WHEN trim(text) = '' THEN 0 ELSE {_UNITS} END AS INT) AS units, count(*) AS n FROM (SELECT *, list_filter(list_transform(string_split_regex(regexp_replace(trim(text), '(?im)^([ \t]*(?:(?:PC|ITEM|COMMENT|CORRECTION)[ \t]*)?[0-9]{{1,3}}[ \t]*[:.)-][ \t]+)', chr(1) || '\1', 'g'), chr(1)), lambda p: trim(p, chr(10) || chr(32) || chr(9))), lambda p: p <> '') AS parts FROM records) GROUP BY 1"),
     ),
     "titles": (lambda s, d: records(s, d).select("comment_id", X.recurring_title(F.col("text")).alias("title")), None),
     "readable_texts": (
@@ -84,7 +89,10 @@ QUERIES = {
     ),
     "event_fingerprints": (
         lambda s, d: records(s, d).select("comment_id", F.sha2(L.fingerprint(F.col("city"), F.lit("reviewer_comment"), F.lit(None), F.col("issue_id"), F.col("review_round"), F.lit(None), X.normalize_event_text("text")), 256).alias("fingerprint")),
-        None,
+        sql(
+            f"SELECT comment_id, sha256(lower(city) || '|government_comment||' || lower(issue_id) || '|' || review_round || '|unknown|' || normal || '|' || array_to_string(list_sort(list_distinct(list_filter(string_split(normal, ' '), lambda x: regexp_matches(x, '[0-9]')))), ',') || '|' "
+            f"|| array_to_string(list_sort(list_distinct(list_filter(string_split(normal, ' '), lambda x: x IN ({_NEGATIONS})))), ',')) AS fingerprint FROM (SELECT *, {normal_sql('text')} AS normal FROM records)"
+        ),
     ),
     "cell_ranges": (
         lambda s, d: table(s, d, "lineitem").select("l_linenumber", F.pmod("l_partkey", F.lit(700)).alias("c")).distinct().select("l_linenumber", "c", X.parse_cell_range(F.concat(X.column_letters(F.col("c") + 1), F.col("l_linenumber"))).alias("r")).select("l_linenumber", "c", F.col("r.first_row").alias("row"), F.col("r.first_column").alias("col")),

@@ -2,35 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions import similarity as S
 from marginalia.functions import text as X
 from marginalia.plans.records import records, sql, table
 
-MARKER = "(?i)\\bPC\\s*([0-9]+)\\s*[-:]\\s*"
-
-
-def split_progression(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per marked segment of a text: marker number and what stands up to the next marker; else the whole text."""
-    t = F.col(text)
-    marks = F.regexp_extract_all(t, F.lit(MARKER), F.lit(1))
-    parts = F.split(t, MARKER)
-    whole = F.array(F.struct(F.lit(None).cast("int").alias("marker"), F.trim(t).alias("segment")))
-    split = F.transform(marks, lambda m, i: F.struct(m.cast("int").alias("marker"), F.trim(F.get(parts, i + 1)).alias("segment")))
-    segments = F.filter(F.when(F.size(marks) > 0, split).otherwise(whole), lambda s: s["segment"] != "")
-    return df.select(key, F.posexplode(segments).alias("position", "s")).select(key, "position", "s.marker", "s.segment")
-
-
-def event_order(marker: Column, date: Column, round_: Column) -> list[Column]:
-    """Marked events by marker and date, then dated ones by date, then the rest by round; none is last."""
-    return [F.when(marker.isNotNull(), 0).when(date.isNotNull(), 1).otherwise(2), F.coalesce(marker, F.lit(0)), F.coalesce(date.cast("long"), F.lit(0)), F.coalesce(round_, F.lit(10**9))]
-
-
 def relations(df: DataFrame, thread: str, order: list, text: str) -> DataFrame:
     """Each event's place in its thread and its relation to the last event before it that has a text."""
     w = Window.partitionBy(thread).orderBy(*order)
@@ -54,50 +31,6 @@ def recurrence_stats(df: DataFrame) -> DataFrame:
     return r.agg(F.count("*").alias("threads"), F.max("events").alias("longest"), F.round(F.avg(F.when(F.col("status") == "resolved", F.col("span"))), 4).alias("average_rounds_to_resolution"), F.sum((F.col("status") == "open").cast("long")).alias("open_threads"))
 
 
-def assign_threads(df: DataFrame) -> DataFrame:
-    """Threads by equal opening words in a project; the thread's id is a digest of its least member."""
-    anchor = F.array_join(F.slice(X.plain_tokens(F.col("text")), 1, 6), " ")
-    keyed = df.withColumn("anchor", anchor)
-    least = keyed.where("anchor <> ''").groupBy("project_id", "anchor").agg(F.min("comment_id").alias("root"), F.count("*").alias("members"))
-    joined = keyed.select("comment_id", "project_id", "anchor").join(least, ["project_id", "anchor"], "left")
-    root = F.coalesce("root", "comment_id")
-    return joined.select("comment_id", F.concat(F.lit("IT-"), F.substring(F.sha2(root.cast("string"), 256), 1, 16)).alias("thread_id"), F.coalesce("members", F.lit(1)).alias("members"))
-
-
-def merge_events(df: DataFrame, thread: str = "thread", schema: str = "thread string, event string, occurrences int, members array<long>") -> DataFrame:
-    """Greedy merge in order within a thread: an event joins the one earlier event it is equal to or an extension of.
-
-    Input: thread, id, role, text (normal form).  An event that fits several
-    stays apart, as does one whose numbers or negations differ.  Threads are
-    single issues; the events kept of a thread are those it shows.
-    """
-
-    def one(frames: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-
-        kept: list[list] = []
-        for row in frames.sort_values("id").itertuples():
-            digits = lambda t: {w for w in t.split() if any(c.isdigit() for c in w)}
-            negatives = lambda t: {w for w in t.split() if w in X.NEGATIONS}
-            fits = []
-            for event in kept:
-                if event[0] != row.role:
-                    continue
-                a, b = sorted((event[1], row.text), key=len)
-                same = a == b
-                if not same and digits(a) == digits(b) and negatives(a) == negatives(b):
-                    same = SequenceMatcher(None, event[1], row.text).ratio() >= S.SEQUENCE
-                if same:
-                    fits.append(event)
-            if len(fits) == 1:
-                fits[0][2].append(int(row.id))
-            else:
-                kept.append([row.role, row.text, [int(row.id)]])
-        return pd.DataFrame({"thread": frames[thread].iloc[0], "event": [e[1] for e in kept], "occurrences": [len(e[2]) for e in kept], "members": [e[2] for e in kept]})
-
-    return df.groupBy(thread).applyInPandas(one, schema)
-
-
 def merge_duplicate_events(df: DataFrame) -> DataFrame:
     """Events equal in role and text within a conversation are one, with all their places."""
     key = F.lower(X.collapse(F.col("text")))
@@ -150,7 +83,6 @@ QUERIES = {
             "r AS (SELECT issue_id, count(*) AS events, max(review_round) - min(review_round) + 1 AS span, CASE WHEN last(link_status ORDER BY review_round, comment_id) = 'confirmed' THEN 'resolved' ELSE 'open' END AS status FROM records GROUP BY issue_id HAVING count(DISTINCT review_round) >= 2)",
         ),
     ),
-    "issue_threads": (lambda s, d: assign_threads(records(s, d)), None),
     "merged_events": (
         lambda s, d: merge_duplicate_events(table(s, d, "conversations")),
         """SELECT conv_id, CASE WHEN lower(role) IN ('company', 'applicant', 'applicant_response') THEN 'company' WHEN lower(role) IN ('government', 'reviewer', 'city') THEN 'government' ELSE lower(role) END AS family,
@@ -166,8 +98,4 @@ QUERIES = {
         r AS (SELECT *, sum(CASE WHEN p IS NULL OR event_id - p > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM h)
         SELECT user_id, CAST(run AS BIGINT) AS run, min(event_id) AS first, max(event_id) AS last, count(*) AS hits FROM r GROUP BY user_id, run""",
     ),
-    "thread_events": (
-        lambda s, d: merge_events(table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("thread"), F.col("turn").alias("id"), "role", X.normalize_event_text("text").alias("text"))).groupBy("thread").agg(F.count("*").alias("events"), F.sum("occurrences").alias("occurrences")),
-        None,
-    ),
 }
