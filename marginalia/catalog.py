@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from marginalia.operators import aggregate, dedup, documents, duplicates, evidence, retrieval, sets, textops, threads, timeline, trust
+from marginalia.operators import aggregate, dedup, documents, duplicates, evidence, retrieval, sets, spreadsheets, tags, textops, threads, timeline, trust
 from marginalia.plans import analysis
-from marginalia.sources import files
+from marginalia.sources import audit, files, models
 from marginalia.streaming import ledger
 
 FLAGSHIP = "overview"
 
-_MODULES = (aggregate, trust, textops, dedup, duplicates, documents, threads, timeline, evidence, retrieval, sets, analysis, files, ledger)
+_MODULES = (aggregate, trust, textops, dedup, duplicates, documents, threads, timeline, evidence, retrieval, sets, analysis, files, audit, models, spreadsheets, tags, ledger)
 
 
 def queries() -> dict:

@@ -162,11 +162,12 @@ def infer_round(path: Column) -> Column:
     """struct(round, confidence, evidence) of a path: the nearest folder that a rule fits, rules in their order, then the file's name."""
     parts = F.split(blank(path), "/")
     folders, name = F.reverse(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))), F.element_at(parts, -1)
-    options = []
-    for phrase, less, sure in ROUND_RULES:
-        hits = F.filter(F.transform(folders, lambda f, p=phrase: F.struct(ordinal_before(f, p).alias("n"), f.alias("evidence"))), lambda x: x["n"].isNotNull())
-        hit = F.get(hits, 0)
-        options.append(F.when(hit.isNotNull(), F.struct(F.greatest(F.lit(1 if less else 0), hit["n"] - less).cast("string").alias("round"), F.lit(sure).alias("confidence"), hit["evidence"].alias("evidence"))))
+
+    def fitting(phrase: str, less: int, sure: float) -> Column:
+        hit = F.get(F.filter(F.transform(folders, lambda f: F.struct(ordinal_before(f, phrase).alias("n"), f.alias("evidence"))), lambda x: x["n"].isNotNull()), 0)
+        return F.when(hit.isNotNull(), F.struct(F.greatest(F.lit(1 if less else 0), hit["n"] - less).cast("string").alias("round"), F.lit(sure).alias("confidence"), hit["evidence"].alias("evidence")))
+
+    options = [fitting(*rule) for rule in ROUND_RULES]
     named = F.regexp_extract(name, "(?i)\\b([0-9]+)(?:st|nd|rd|th)\\s+(?:review|round|comment)", 1)
     options.append(F.when(named != "", F.struct(named.alias("round"), F.lit(0.68).alias("confidence"), name.alias("evidence"))))
     return F.coalesce(*options, F.struct(F.lit("unknown").alias("round"), F.lit(0.0).alias("confidence"), F.lit("").alias("evidence")))

@@ -26,6 +26,8 @@ STREETS = {"avenue": "ave", "street": "st", "road": "rd", "drive": "dr", "boulev
 KNOWN_DISCIPLINES = ["architectural", "building", "civil", "electrical", "fire", "mechanical", "planning", "plumbing", "public works", "structural", "zoning"]
 CASE = "(?<![A-Za-z0-9])([0-9]{2})\\s*[- ]\\s*([0-9]{3})\\s*[- ]\\s*([0-9]{2,6})(?![0-9])"
 SUFFIX = "\\b(?:ave|st|rd|dr|blvd|ln|ct|pl|pkwy|hwy|cir|ter|trl|way)\\b"
+_SPELLING = {word: f"{n}{'th' if 10 < n < 14 else {1: 'st', 2: 'nd', 3: 'rd'}.get(n % 10, 'th')}" for n, word in enumerate(ORDINAL_WORDS, 1)} | STREETS
+_SHORT = re.compile(rf"\b(?:{'|'.join(_SPELLING)})\b")
 OCCURRENCE_TYPES = ["newly_issued", "reissued_unresolved"]
 MARKUP = "(?is)^\\s*(markup|comment)\\s+[^\\s|]+\\.(?:pdf|docx?|xlsx?|csv)\\s+(.+)$"
 IDENTIFIER = "(?is)^.*?\\b(V\\s*[0-9]+\\s*[-/]?\\s*C\\s*[0-9]+)\\s+([0-9]+(?:\\.[0-9]+)?)\\b(.*)$"
@@ -122,29 +124,25 @@ def scope_folder(path: Column, discipline: Column) -> Column:
     return normalize_document_text(F.coalesce(below, F.when(blank(discipline) != "", discipline), F.lit("unknown")))
 
 
-def address(c: Column, city: Column) -> Column:
+def address_form(value: str | None, city: str | None) -> str:
     """An address in one spelling: permit marker, city and what follows it, state and postal code off, words short."""
-    t = F.regexp_replace(F.replace(normalize_document_text(blank(c)), F.lit("_"), F.lit(" ")), "^\\s*[0-9]{2}\\s*[- ]\\s*[0-9]{3}\\s*[-_]*", "")
-    t = F.regexp_replace(F.trim(t), "(?<=[a-z])-(?=[a-z])", " ")
-    t = F.get(F.split(t, "\\s+[—–|]\\s+"), 0)
-    place = normalize_document_text(blank(city))
-    at = F.instr(t, place)
-    before = F.substring(t, F.lit(1), at - 1)
-    follows = F.substring(t, at + F.length(place), F.lit(1))
-    t = F.when((place != "") & (at > 0) & ~follows.rlike("[a-z0-9_]"), F.regexp_replace(before, ",?\\s*$", "")).otherwise(t)
-    t = F.regexp_replace(t, ",?\\s*(?:ca|california)\\s+[0-9]{5}(?:-[0-9]{4})?$", "")
-    t = F.regexp_replace(F.regexp_replace(t, "\\s*,\\s*", ", "), "^[ ,.]+|[ ,.]+$", "")
-    for n, word in enumerate(ORDINAL_WORDS, 1):
-        ending = "th" if 10 < n < 14 else {1: "st", 2: "nd", 3: "rd"}.get(n % 10, "th")
-        t = F.regexp_replace(t, f"\\b{word}\\b", f"{n}{ending}")
-    for long, short in STREETS.items():
-        t = F.regexp_replace(t, f"\\b{long}\\b", short)
-    return F.regexp_replace(X.collapse(t), "^[ ,.]+|[ ,.]+$", "")
+    t = re.sub(r"^\s*\d{2}\s*[- ]\s*\d{3}\s*[-_]*", "", document_form(value).replace("_", " ")).strip()
+    t = re.split(r"\s+[—–|]\s+", re.sub(r"(?<=[a-z])-(?=[a-z])", " ", t), maxsplit=1)[0]
+    if place := document_form(city):
+        t = re.sub(rf",?\s*{re.escape(place)}\b.*$", "", t)
+    t = re.sub(r",?\s*(?:ca|california)\s+\d{5}(?:-\d{4})?$", "", t)
+    t = re.sub(r"\s*,\s*", ", ", t).strip(" ,.")
+    return " ".join(_SHORT.sub(lambda m: _SPELLING[m.group()], t).split()).strip(" ,.")
+
+
+@pandas_udf(StringType())
+def address(values: pd.Series, cities: pd.Series) -> pd.Series:
+    return pd.Series([address_form(v, c) for v, c in zip(values, cities)], dtype=object)
 
 
 def site_name(project: Column, path: Column, city: Column) -> Column:
     """The physical address: the declared one, or the folder's where that is fuller or has another number."""
-    declared, folder = address(project, city), address(project_folder(path), city)
+    declared, folder = address(blank(project), blank(city)), address(project_folder(path), blank(city))
     number = lambda c: F.regexp_extract(c, "^\\s*([0-9]+)", 1)
     other = (number(folder) != "") & (number(declared) != "") & (number(folder) != number(declared))
     fuller = (folder != "") & folder.rlike(SUFFIX) & ((declared == "") | ~declared.rlike(SUFFIX) | other)

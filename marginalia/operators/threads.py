@@ -366,8 +366,8 @@ def thread_events(events: DataFrame) -> DataFrame:
     sure = F.coalesce(F.lower("text_trust_status").isin("verified", "confirmed"), F.lit(False)) | F.coalesce(F.lower("human_review_status") == "confirmed", F.lit(False))
     raw_id = F.when(F.col("given_id") != "", F.col("given_id")).otherwise(I.stable_id("E", F.col("thread"), F.lit("progression"), F.when(F.col("marker") != "", F.col("marker")).otherwise(F.concat(F.lit("round:"), "effective_round")), F.col("normal")))
     place = F.concat_ws("|", "source_document", "comment_id")
-    # parents only matter for short answers, so longer texts are summed over them
-    told = told.withColumn("own", F.when(F.col("generic"), F.array_join(F.array_sort(parents), ",")).otherwise("")).withColumn("first", F.struct("source_document", "source_order", "exact_text"))
+    # parents only matter for short answers, so longer texts are summed over them; a short one without any stands alone
+    told = told.withColumn("own", F.when(~F.col("generic"), "").when(F.size(parents) > 0, F.array_join(F.array_sort(parents), ",")).otherwise(F.concat_ws("#", F.lit(""), "comment_id", "source_order"))).withColumn("first", F.struct("source_document", "source_order", "exact_text"))
     by = ["thread", "kind", "role", "actor", "date", "marker", "round", "effective_round", "printed", "normal", "generic", "identity", "review_round", "own"]
     summed = told.groupBy(*by).agg(
         F.count("*").cast("long").alias("copies"), F.min("first").alias("first"), F.max(sure).alias("trusted"),

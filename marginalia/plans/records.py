@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +49,7 @@ def sql(body: str, *more: str) -> str:
 
 def complete(df: DataFrame, **columns: str) -> DataFrame:
     """``df`` with the named columns that it lacks, as nulls of the given types."""
+    ship(df.sparkSession)  # before Python functions over the frame are made
     have = {c.lower() for c in df.columns}
     return df.withColumns({n: F.lit(None).cast(kind) for n, kind in columns.items() if n.lower() not in have})
 

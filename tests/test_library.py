@@ -12,7 +12,7 @@ from marginalia.functions import identity as I
 from marginalia.functions import similarity as S
 from marginalia.functions import taxonomy as C
 from marginalia.functions import text as X
-from marginalia.operators import dedup, retrieval, sets, timeline, trust
+from marginalia.operators import retrieval, sets, timeline, trust
 from marginalia.operators.components import connected_components
 from marginalia.plans import analysis
 from marginalia.plans.records import records
@@ -106,24 +106,11 @@ def test_rows_and_pick(spark):
         pick(df, other="string")
 
 
-def test_near_pairs(spark):
-    base = "provide the clear width of every door on the plan and show the swing of each leaf in the schedule with all hardware listed by type and maker"
-    rows = [(1, "c", base), (2, "c", base.replace("maker", "makers")), (3, "c", "something else entirely with other words in it"), (4, "d", base)]
-    df = spark.createDataFrame(rows, "comment_id long, city string, text string")
-    got = {(r.left, r.right): r.match for r in dedup.near_pairs(df, ["city"]).collect()}
-    assert got == {(1, 2): "HIGH_CONFIDENCE_DUPLICATE"}
-    assert {(r.comment_id, r.duplicate_of) for r in dedup.fuzzy_repeats(df, ["city"]).collect()} == {(2, 1)}
-
-
 def test_timeline(spark):
-    df = spark.createDataFrame([(1, "PC1- first one PC2: second"), (2, "plain")], "k long, t string")
-    assert [tuple(r) for r in timeline.split_progression(df, "k", "t").orderBy("k", "position").collect()] == [(1, 0, 1, "first one"), (1, 1, 2, "second"), (2, 0, None, "plain")]
     pages = spark.createDataFrame([(1, p, p in (1, 2, 5, 9)) for p in range(1, 10)], "d long, p long, hit boolean")
     assert sorted((r["first"], r["last"]) for r in timeline.islands(pages, "d", "p", F.col("hit")).collect()) == [(1, 5), (9, 9)]
     b = spark.range(1).select(timeline.page_batches(F.lit(10), 4, 1).alias("b")).first().b
     assert [(x["first"], x["last"]) for x in b] == [(1, 4), (4, 7), (7, 10)]
-    events = spark.createDataFrame([("t", 1, "g", "same words here 1"), ("t", 2, "g", "same words here 1"), ("t", 3, "g", "same words here 2")], "thread string, id long, role string, text string")
-    assert sorted(r.occurrences for r in timeline.merge_events(events).collect()) == [1, 2]
 
 
 def test_sets(spark):
