@@ -328,53 +328,79 @@ def _common(rows: DataFrame, sample: int = 32768, most: int = 1 << 17) -> np.nda
     return np.array([r.w for r in found.collect()][::-1], np.int32)
 
 
-def similar_links(rows: DataFrame, copies: DataFrame, similarity: float, dense: int = 256, rounds: int = 6) -> DataFrame:
+#: Members that a large group's rest is compared with in each round, all at once.
+PIVOTS = 4
+
+
+def similar_links(rows: DataFrame, copies: DataFrame, similarity: float, dense: int = 256, rounds: int = 2) -> DataFrame:
     """(a, b): links with the components of the graph of all pairs of sets ``s`` (named ``id``, all but ``copies`` distinct) that have the similarity.
 
     Pairs that share a prefix shingle are the candidates, and lose none.  Of
-    the sets with one shingle all are compared with the first.  Those similar
-    to it are of its component; they need no more tests with each other, nor
-    with a set so far from it that, by the triangle inequality of the Jaccard
-    distance, they can't be similar to that.  The rest goes on to the next
-    round, by all pairs where it has ``dense`` sets or fewer, or none of the
-    ``rounds`` is left.  As shingles go by rarity, a rest is mostly that small,
-    so there are two rounds.
+    the sets with one shingle all are compared with the first, the root; those
+    similar to it are linked, and need no more tests with each other.  The rest
+    must meet every set of the group in the end, but for linked ones so near the
+    root that, by the triangle inequality of the Jaccard distance, they can't be
+    similar.  Before that, in groups of more than ``dense`` sets, the rest is
+    compared with ``PIVOTS`` linked members, ``rounds`` times: of a large group
+    of near copies next to none is left then.
     """
     every = empty(rows.sparkSession, "a long, b long")
     at = new_folder(rows.sparkSession, "near")
-    put = lambda df, name: cut(df, name, f"{at}/{name}-{k}")
+    put = lambda df, name: cut(df, name, f"{at}/{name}")
+    drop = lambda *names: [remove_folder(rows.sparkSession, f"{at}/{n}") for n in names]
     ratio = lambda x, y: F.least(x, y) / F.greatest(x, y)
-    k = 0
-    held = put(rows.join(copies, "id", "left_anti").select("id", "s").mapInArrow(_prefixed(_common(rows), similarity), "w int, id long, n int, lead boolean"), "prefixes")
-    for k in range(rounds + 1):
-        tops = held.groupBy("w").agg(F.count("*").alias("m"), F.min(F.when(F.col("lead"), F.struct("id", "n"))).alias("root")).where("m > 1 and root is not null")
-        star = put(held.join(tops, "w").withColumn("last", F.lit(k == rounds) | ((F.col("m") <= dense) & F.lit(k > 0))), "stars")
-        if star.isEmpty():
-            break
-        few = star.where("last")
-        goes_on = k < rounds and (k == 0 or not star.where("not last").isEmpty())
-        star = star.where(~F.col("last") & (F.col("id") != F.col("root.id"))).withColumn("a", F.least("id", "root.id")).withColumn("b", F.greatest("id", "root.id"))
-        star = star.withColumn("most", ratio(F.col("n"), F.col("root.n")))
-        pairs = star.where(F.col("most") >= similarity).select("a", "b")
-        if k:
-            x, y = few.select("w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("lead").alias("la")), few.select("w", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("lead").alias("lb"))
-            both = x.join(y, "w").where("a < b and ((na <= nb and la) or (nb <= na and lb))").where(ratio(F.col("na"), F.col("nb")) >= similarity)
-            pairs = pairs.unionByName(both.select("a", "b"))
-        pairs = put(pairs.distinct(), "candidates")
-        sets = put(rows.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "s"), "shingles")
+    shape = "w int, id long, n int, lead boolean, found double, linked boolean, m long"
+
+    def score(pairs: DataFrame, k: str) -> DataFrame:
+        """(a, b, found) of pairs (a, b), and their links put to the others."""
+        nonlocal every
+        pairs = put(pairs.distinct(), f"candidates-{k}")
+        sets = put(rows.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "s"), f"shingles-{k}")
         joined = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         scored = cut(joined.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("found")), "scored")
         every = every.unionByName(scored.where(F.col("found") >= similarity).select("a", "b"))
-        if goes_on:
-            judged = put(star.join(scored, ["a", "b"], "left").select("w", "id", "n", "lead", F.coalesce("found", "most").alias("found")), "judged")
-            failed = judged.where(F.col("found") < similarity).groupBy("w").agg(F.max("found").alias("nearest"))
-            held = judged.join(failed, "w").where((F.col("found") < similarity) | (F.col("found") <= F.col("nearest") + (1 - similarity + 1e-9))).select("w", "id", "n", "lead")
-            held = cut(held, "untested")
-        for name in ("prefixes", "stars", "candidates", "shingles", "judged"):
-            remove_folder(rows.sparkSession, f"{at}/{name}-{k}")
-        if not goes_on:
+        drop(f"candidates-{k}", f"shingles-{k}")
+        return scored
+
+    def open_(judged: DataFrame) -> DataFrame:
+        """Groups that have a rest, without the linked members out of its reach.
+
+        ``found`` of the rest is an upper bound of its similarity to the root.
+        """
+        nearest = judged.where("not linked").groupBy("w").agg(F.max("found").alias("nearest"))
+        kept = judged.join(nearest, "w").where(~F.col("linked") | (F.col("found") <= F.col("nearest") + (1 - similarity + 1e-9)))
+        return kept.select(*[c.split()[0] for c in shape.split(", ")])
+
+    held = put(rows.join(copies, "id", "left_anti").select("id", "s").mapInArrow(_prefixed(_common(rows), similarity), "w int, id long, n int, lead boolean"), "prefixes")
+    tops = held.groupBy("w").agg(F.count("*").alias("m"), F.min(F.when(F.col("lead"), F.struct("id", "n"))).alias("root")).where("m > 1 and root is not null")
+    star = held.join(tops, "w").withColumn("a", F.least("id", "root.id")).withColumn("b", F.greatest("id", "root.id")).withColumn("most", ratio(F.col("n"), F.col("root.n")))
+    star = put(star, "stars")
+    drop("prefixes")
+    scored = score(star.where((F.col("a") < F.col("b")) & (F.col("most") >= similarity)).select("a", "b"), "root")
+    judged = star.join(scored, ["a", "b"], "left").withColumn("found", F.coalesce("found", "most"))
+    judged = put(judged.select("w", "id", "n", "lead", "found", (F.col("found") >= similarity).alias("linked"), "m"), "judged")
+    held = put(open_(judged), "open")
+    drop("stars", "judged")
+    for k in range(rounds):
+        large = held.where(F.col("m") > dense)
+        if large.isEmpty():
             break
+        chosen = [F.min(F.when(F.col("linked"), F.struct(F.xxhash64(F.lit(k * PIVOTS + j), "id").alias("h"), "id", "n"))).alias(f"p{j}") for j in range(PIVOTS)]
+        pivots = large.groupBy("w").agg(*chosen)
+        asked = large.where("not linked").join(pivots, "w").select("w", "id", "n", "found", F.explode(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("p")).where("p is not null")
+        asked = put(asked.select("w", "id", F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), ratio(F.col("n"), F.col("p.n")).alias("most")).where(F.col("most") >= similarity), f"asked-{k}")
+        near = asked.join(score(asked.select("a", "b"), f"pivots-{k}"), ["a", "b"]).where(F.col("found") >= similarity).select("w", "id").distinct().withColumn("now", F.lit(True))
+        # a member linked by a pivot keeps its bound to the root as it was: no linked member is dropped by it
+        later = held.join(near, ["w", "id"], "left").withColumn("found", F.when(F.col("now"), 0.0).otherwise(F.col("found"))).withColumn("linked", F.col("linked") | F.coalesce("now", F.lit(False)))
+        held = put(open_(later.drop("now")), f"open-{k}")
+        drop(f"asked-{k}", "open" if k == 0 else f"open-{k - 1}")
+    x = held.where("not linked").select("w", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("lead").alias("lx"), F.col("found").alias("fx"))
+    y = held.select("w", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("lead").alias("ly"), F.col("found").alias("fy"), F.col("linked").alias("ky"))
+    both = x.join(y, "w").where("x <> y and (ky or x < y) and ((nx <= ny and lx) or (ny <= nx and ly))").where(ratio(F.col("nx"), F.col("ny")) >= similarity)
+    both = both.where(~F.col("ky") | (F.col("fy") <= F.col("fx") + (1 - similarity + 1e-9)))
+    score(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "rest")
+    remove_folder(rows.sparkSession, at)
     return every
 
 
