@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
 from marginalia.functions.taxonomy import classify_topic
+from marginalia.operators.textops import TOPIC_CASE
 from marginalia.plans.records import records, sql, table
 
 TOP = 12
@@ -63,20 +64,39 @@ def dedupe_rows(df: DataFrame) -> DataFrame:
 
 
 def topics(df: DataFrame) -> DataFrame:
-    """Topics with two projects or more, after one record per issue and project."""
-    one = Window.partitionBy("issue_id", "project_id").orderBy("comment_id")
-    first = df.withColumn("n", F.row_number().over(one)).where("n = 1")
-    t = first.withColumn("t", classify_topic(F.col("text"), F.col("discipline"))).select("t.*", "project_id", "issue_id", "review_round")
+    """Topics with two projects or more, after one record (the first) per issue and project."""
+    first = df.groupBy("issue_id", "project_id").agg(F.min_by(F.struct("text", "discipline"), "comment_id").alias("r"))
+    t = first.withColumn("t", classify_topic(F.col("r.text"), F.col("r.discipline"))).select("t.*", "project_id", "issue_id")
     found = t.groupBy("topic_id", "parent", "aspect").agg(F.count("*").alias("threads"), F.countDistinct("project_id").alias("projects"), F.countDistinct("issue_id").alias("issues"))
     return found.where("projects >= 2")
 
 
+def quantiles(df: DataFrame, key: str, value: str, fractions: dict[str, float], between: bool = True) -> DataFrame:
+    """Per key the values at the fractions: linear between neighbours, or the one at the nearest rank (half to even).
+
+    Equal values are counted where they are read; a running sum over the distinct
+    ones finds the ranks, so nothing is held but a key's sorted stream.
+    """
+    counts = df.groupBy(key, value).agg(F.count("*").alias("c"))
+    total = counts.groupBy(key).agg(F.sum("c").alias("n"))
+    upto = F.sum("c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumn("upto", upto).join(total, key)
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col(value)))
+    sums = []
+    for name, f in fractions.items():
+        place = (F.col("n") - 1) * F.lit(float(f))
+        sums += [at(F.floor(place)).alias(f"{name}_a"), at(F.ceil(place)).alias(f"{name}_b")] if between else [at(F.bround(place)).alias(f"{name}_a")]
+    got = ranked.groupBy(key, "n").agg(*sums)
+    share = lambda f: (F.col("n") - 1) * F.lit(float(f)) - F.floor((F.col("n") - 1) * F.lit(float(f)))
+    one = lambda name, f: F.col(f"{name}_a") + (F.col(f"{name}_b") - F.col(f"{name}_a")) * share(f) if between else F.col(f"{name}_a")
+    return got.select(key, F.col("n").alias("samples"), *[one(n, f).alias(n) for n, f in fractions.items()])
+
+
 def latency_by(df: DataFrame, stage: str, value: str) -> DataFrame:
     """Samples, median, 95th percentile (linear interpolation, finite values only) and maximum."""
     fine = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    out = fine.groupBy(stage).agg(F.count("*").alias("samples"), p.alias("p"), F.max(value).alias("max_value"))
-    return out.select(stage, "samples", F.round(F.col("p")[0], 4).alias("p50"), F.round(F.col("p")[1], 4).alias("p95"), F.round("max_value", 4).alias("max_value"))
+    found = quantiles(fine, stage, value, {"p50": 0.5, "p95": 0.95, "max_value": 1.0})
+    return found.select(stage, "samples", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "max_value")])
 
 
 def straggler_reasons(df: DataFrame, value: str, first: float, total: float) -> DataFrame:
@@ -85,12 +105,6 @@ def straggler_reasons(df: DataFrame, value: str, first: float, total: float) ->
     return df.withColumn("reasons", reasons).where(F.size("reasons") > 0)
 
 
-def nearest_rank(values: Column, fraction: float) -> Column:
-    """The value at Python's round((n - 1) * fraction) of an array."""
-    ordered = F.array_sort(values)
-    return F.get(ordered, F.bround((F.size(ordered) - 1) * F.lit(fraction)).cast("int"))
-
-
 def missing_fields(df: DataFrame) -> DataFrame:
     """Per field, how many records lack it."""
     sums = [F.sum((F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).cast("long")).alias(c) for c in df.columns]
@@ -156,11 +170,15 @@ QUERIES = {
         sql("SELECT city, project_id, review_round, count(*) AS records, count(*) FILTER (trust = 'verified') AS verified, count(response_id) AS with_response, first(comment_id ORDER BY (trust = 'verified') DESC, (response_id IS NOT NULL) DESC, comment_id) AS primary_comment FROM records GROUP BY ALL"),
     ),
     "topic_counts": (
-        lambda s, d: topics(records(s, d)),
-        None,
+        lambda s, d: topics(records(s, d)).select("topic_id", "threads", "projects", "issues"),
+        sql(
+            "SELECT topic_id, count(*) AS threads, count(DISTINCT project_id) AS projects, count(DISTINCT issue_id) AS issues FROM c GROUP BY topic_id HAVING count(DISTINCT project_id) >= 2",
+            "f AS (SELECT issue_id, project_id, arg_min(text, comment_id) AS text, arg_min(discipline, comment_id) AS discipline FROM records GROUP BY issue_id, project_id)",
+            f"c AS (SELECT issue_id, project_id, {TOPIC_CASE} AS topic_id FROM (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS b, lower(trim(regexp_replace(discipline || ' ' || text, '\\s+', ' ', 'g'))) AS v FROM f))",
+        ),
     ),
     "nearest_rank": (
-        lambda s, d: table(s, d, "events").groupBy("event_type").agg(nearest_rank(F.collect_list("value"), 0.95).alias("p95")),
-        "SELECT event_type, list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.95, 0) AS BIGINT) + 1] AS p95 FROM events GROUP BY event_type",
+        lambda s, d: quantiles(table(s, d, "events").where("value is not null"), "event_type", "value", {"p95": 0.95}, between=False).drop("samples"),
+        "SELECT event_type, list_sort(list(value))[CAST(round_even((count(value) - 1) * 0.95, 0) AS BIGINT) + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type",
     ),
 }

@@ -190,7 +190,8 @@ def _windows(s, d) -> DataFrame:
 
 _NORMAL = "regexp_replace(trim(regexp_replace(replace(lower(original_text), 'ß', 'ss'), '[\\s\\x0b]+', ' ', 'g')), '\\s+([,.;:!?])', '\\1', 'g')"
 _FILES = f"""
-t AS (SELECT comment_id, source_document AS path, {_NORMAL} AS normal, text_trust_status, response_id, review_round FROM comments WHERE duplicate_status IS NULL)
+t AS (SELECT comment_id, source_document AS path, {_NORMAL} AS normal, text_trust_status, response_id, review_round FROM comments WHERE duplicate_status IS NULL),
+f AS (SELECT path, min(path) OVER (PARTITION BY content) AS root, count(*) OVER (PARTITION BY content) AS members FROM (SELECT path, string_agg(DISTINCT sha256(normal), '' ORDER BY sha256(normal)) AS content FROM t WHERE normal <> '' GROUP BY path))
 """
 
 QUERIES = {
@@ -208,15 +209,15 @@ QUERIES = {
         lambda s, d: canonical_documents(comments(s, d))[2].groupBy("occurrence_type", "eligible").agg(F.count("*").alias("n")),
         sql_over(
             COMMENTS,
-            "SELECT CASE WHEN c.duplicate_status IS NOT NULL OR r.k > 1 THEN 'copied_duplicate' ELSE 'newly_issued' END AS occurrence_type, NOT (c.duplicate_status IS NOT NULL OR r.k > 1) AS eligible, count(*) AS n "
-            "FROM comments c LEFT JOIN r ON r.comment_id = c.comment_id GROUP BY 1, 2",
+            "SELECT CASE WHEN copy THEN 'copied_duplicate' ELSE 'newly_issued' END AS occurrence_type, NOT copy AS eligible, count(*) AS n "
+            "FROM (SELECT c.duplicate_status IS NOT NULL OR r.k > 1 OR r.path <> r.root AS copy FROM comments c LEFT JOIN r ON r.comment_id = c.comment_id) GROUP BY 1, 2",
             _FILES,
-            "r AS (SELECT comment_id, row_number() OVER (PARTITION BY path, normal ORDER BY (text_trust_status = 'verified') IS NOT TRUE, response_id IS NULL, comment_id) AS k FROM t)",
+            "r AS (SELECT comment_id, t.path, root, row_number() OVER (PARTITION BY root, normal ORDER BY (text_trust_status = 'verified') IS NOT TRUE, response_id IS NULL, t.path, comment_id) AS k FROM t JOIN f ON f.path = t.path)",
         ),
     ),
     "canonical_files": (
         lambda s, d: canonical_documents(comments(s, d))[0].select("path", "source_file_id", "duplicate_group_size"),
-        sql_over(COMMENTS, "SELECT path, 'SF-' || substr(sha256(lower(path)), 1, 20) AS source_file_id, 1 AS duplicate_group_size FROM t WHERE normal <> '' GROUP BY path", _FILES),
+        sql_over(COMMENTS, "SELECT path, 'SF-' || substr(sha256(lower(path)), 1, 20) AS source_file_id, members AS duplicate_group_size FROM f", _FILES),
     ),
     "hierarchy": (
         lambda s, d: hierarchy(comments(s, d)).select("comment_id", "city_id", "project_id", "project_scope", "project_name"),

@@ -20,12 +20,41 @@ _ITEM = "regexp_matches(p, '(?is)^(?:(?:PC|ITEM|COMMENT|CORRECTION)\\s*)?[0-9]{1
 _UNITS = f"CASE WHEN len(list_filter(parts, lambda p: {_ITEM})) < 2 OR len(list_filter(parts, lambda p: {_ITEM} AND length(p) >= 20)) = 0 THEN 1 ELSE len(list_filter(parts, lambda p: {_ITEM} AND length(p) >= 20)) END"
 
 
-def _topic_sql() -> str:
+def _topic_case() -> str:
+    """SQL of a topic's id, over the folded text b, the same after its discipline v, and the discipline."""
     cases = [f"WHEN {_TOPIC('v', C.TREE_WORDS)} THEN CASE " + " ".join(f"WHEN {_TOPIC('b', w)} THEN 'TREES_{C._slug(a)}'" for a, w in C.TREES) + " ELSE 'TREES_TREE_REVIEW' END"]
     cases.append(f"WHEN {_TOPIC('v', C.DOOR_WORDS)} THEN CASE " + " ".join(f"WHEN {_TOPIC('b', w)} THEN 'DOORS_{C._slug(a)}'" for a, w in C.DOORS) + " ELSE 'DOORS_DOOR_SCHEDULE_AND_LABELING' END")
     cases += [f"WHEN {_TOPIC('v', w)} THEN '{i}'" for i, _, _, w in C.RULES]
+    return f"CASE {' '.join(cases)} ELSE 'GENERAL_' || upper(discipline) || '_REVIEW' END"
+
+
+TOPIC_CASE = _topic_case()
+
+
+def _topic_sql() -> str:
     body = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
-    return sql(f"SELECT comment_id, CASE {' '.join(cases)} ELSE 'GENERAL_' || upper(discipline) || '_REVIEW' END AS topic_id FROM t", f"t AS (SELECT comment_id, discipline, {body.format('text')} AS b, {body.format(chr(100) + 'iscipline || chr(32) || text')} AS v FROM records)")
+    return sql(f"SELECT comment_id, {TOPIC_CASE} AS topic_id FROM t", f"t AS (SELECT comment_id, discipline, {body.format('text')} AS b, {body.format(chr(100) + 'iscipline || chr(32) || text')} AS v FROM records)")
+
+
+def _title_sql() -> str:
+    v = "text"
+    for p in ("^\\s*\\(?[A-Z]\\)?(?:[.:]|\\s+)\\s*", "(?i)^\\s*PC[0-9]+\\s*[-:]\\s*", "(?i)^\\s*#[0-9]+\\s*(?:continue)?\\s*", "^\\s*[0-9]+\\s*[.)]\\s+"):
+        v = f"regexp_replace({v}, '{p}', '')"
+    v = f"regexp_replace(trim(regexp_replace({v}, '\\s+', ' ', 'g')), '^[ .:\\-]+|[ .:\\-]+$', '', 'g')"
+    first = "trim(CASE WHEN regexp_extract(v, '^(.*?[.!?])(?:\\s|$)', 1) <> '' THEN regexp_extract(v, '^(.*?[.!?])(?:\\s|$)', 1) ELSE v END)"
+    return sql(
+        "SELECT comment_id, CASE WHEN t = '' THEN 'Recurring review issue' WHEN length(t) > 110 THEN regexp_replace(left(t, 107), ' [^ ]*$', '') || '…' ELSE t END AS title FROM c",
+        f"f AS (SELECT comment_id, {first} AS s FROM (SELECT comment_id, {v} AS v FROM records))",
+        "c AS (SELECT comment_id, CASE WHEN instr(s, ':') BETWEEN 1 AND 43 THEN trim(substr(s, instr(s, ':') + 1)) ELSE s END AS t FROM f)",
+    )
+
+
+def _excerpt_sql(limit: int = 200) -> str:
+    return sql(
+        f"SELECT comment_id, CASE WHEN length(t) <= {limit} THEN t WHEN length(s) >= 50 THEN trim(s) WHEN length(w) >= 66 THEN regexp_replace(w, '[ ,;:-]+$', '') || '…' ELSE '' END AS text, length(t) <= {limit} OR length(s) >= 50 AS complete FROM e",
+        "t AS (SELECT comment_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM records)",
+        f"e AS (SELECT comment_id, t, regexp_extract(left(t, {limit}), '^(.*[.!?])(?:\\s|$)', 1) AS s, regexp_extract(left(t, {limit}), '^(.*) ', 1) AS w FROM t)",
+    )
 
 
 QUERIES = {
@@ -70,14 +99,14 @@ QUERIES = {
         lambda s, d: records(s, d).select("comment_id", F.size(X.coherent_units(F.col("text"))).alias("units")).groupBy("units").agg(F.count("*").alias("n")),
         sql(f"SELECT CAST(CASE WHEN trim(text) = '' THEN 0 ELSE {_UNITS} END AS INT) AS units, count(*) AS n FROM (SELECT *, list_filter(list_transform(string_split_regex(regexp_replace(trim(text), '(?im)^([ \t]*(?:(?:PC|ITEM|COMMENT|CORRECTION)[ \t]*)?[0-9]{{1,3}}[ \t]*[:.)-][ \t]+)', chr(1) || '\1', 'g'), chr(1)), lambda p: trim(p, chr(10) || chr(32) || chr(9))), lambda p: p <> '') AS parts FROM records) GROUP BY 1"),
     ),
-    "titles": (lambda s, d: records(s, d).select("comment_id", X.recurring_title(F.col("text")).alias("title")), None),
+    "titles": (lambda s, d: records(s, d).select("comment_id", X.recurring_title(F.col("text")).alias("title")), _title_sql()),
     "readable_texts": (
         lambda s, d: records(s, d).select("comment_id", F.sha2(L.readable(F.col("text")), 256).alias("shown")),
         sql("SELECT comment_id, sha256(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(text, '_x000[DA]_|[\\r\\n\\t\\x{00a0}]', ' ', 'g'), '\\s+', ' ', 'g')), '^(?i:(?:response\\s*[_:-]\\s*)+)', ''), '\\s+([,.;:!?])', '\\1', 'g')) AS shown FROM records"),
     ),
     "excerpts": (
         lambda s, d: records(s, d).select("comment_id", L.excerpt(F.col("text"), 200).alias("e")).select("comment_id", "e.text", "e.complete"),
-        None,
+        _excerpt_sql(),
     ),
     "submission_labels": (
         lambda s, d: table(s, d, "part").select("p_partkey", L.submission_label(F.concat(F.lit("set "), F.col("p_partkey") % 130, F.lit("th submission.pdf"))).alias("label"), L.normalized_identifier(F.concat("p_size", F.lit(".0"))).alias("id")),

@@ -159,7 +159,7 @@ def enrich(rows: DataFrame, key: str, model: Callable[[str], dict]) -> DataFrame
     import json
 
     ship(rows.sparkSession)
-    kind = rows.schema[key].dataType.simpleString()
+    kind, arrow = rows.schema[key].dataType.simpleString(), batch_type(rows, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _batched(batches, 64):
@@ -169,7 +169,7 @@ def enrich(rows: DataFrame, key: str, model: Callable[[str], dict]) -> DataFrame
                     out.append((r[key], r["input_hash"], json.dumps(display(model(r["text"] or ""), r["text"] or ""), ensure_ascii=False, sort_keys=True)))
                 except RuntimeError:
                     continue
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], batch_type(rows, key)), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())], names=[key, "input_hash", "result"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], arrow), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())], names=[key, "input_hash", "result"])
 
     return rows.select(key, "input_hash", "text").mapInArrow(run, f"{key} {kind}, input_hash string, result string")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +21,16 @@ def windowed(ledger: DataFrame, size: str = "1 hour", late: str = "2 hours") ->
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there now, and return what it made."""
+    """Run a stream over all that is there now, and return what it made: a table in the shared folder, the last state where the mode is complete."""
     spark = stream.sparkSession
-    name = f"drained_{uuid.uuid4().hex[:10]}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start()
+    path, state = new_folder(spark, "drained"), new_folder(spark, "stream")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", path).start()
+    else:
+        query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def follow(spark: SparkSession, sf_dir: str, name: str, files: int = 1) -> DataFrame:

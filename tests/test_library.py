@@ -9,14 +9,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import identity as I
+from marginalia.functions import relevance
 from marginalia.functions import similarity as S
 from marginalia.functions import taxonomy as C
 from marginalia.functions import text as X
-from marginalia.operators import retrieval, sets, timeline, trust
+from marginalia.operators import retrieval, sets, spreadsheets, tags, timeline, trust
 from marginalia.operators.components import connected_components
 from marginalia.plans import analysis
 from marginalia.plans.records import records
-from marginalia.sources import files, sinks
+from marginalia.sources import audit, files, models, sinks
 from marginalia.storage import Rows, cut, new_folder, pick
 from marginalia.streaming import ledger
 
@@ -193,11 +194,90 @@ def test_streams(spark):
 def test_retrieval(spark):
     df = records(spark, DIR)
     assert retrieval.tfidf(df, "the of").count() == 0
-    index = retrieval.tag_index(df)
-    assert retrieval.index_digest(index).collect() == retrieval.index_digest(index.repartition(3)).collect()
-    related = spark.createDataFrame([("city_src1", "city_src2")], "tag string, other string")
-    n = index.where("tag = 'city_src1'").count()
-    assert [retrieval.progressive(df, index, "city_src1", related, k).first().stage for k in (n, n + 1, 10**6)] == [1, 2, 3]
+    rows = tags.described(df)
+    assert tags.index_digest(rows).collect() == tags.index_digest(rows.repartition(3)).collect()
+    texts = [(1, "a", "p1", "Provide tree protection fencing and root pruning"), (2, "b", "p2", "Tree protection zone on the plan"), (3, "c", "p3", "Grading and drainage only"), (4, "d", "p4", "fire-rated wall at the property line")]
+    few = spark.createDataFrame(texts, "comment_id long, city string, project_id string, text string")
+    got = {r.comment_id: (r.stage, r.relevant) for r in tags.retrieve(few, "how were tree protection measures handled", "compare").collect()}
+    assert got == {1: (1, True), 2: (1, True)}
+    late = {r.comment_id: (r.stage, r.relevant, r.suggested_tag) for r in tags.retrieve(few, "opening protection").collect()}
+    assert {k: v[:2] for k, v in late.items()} == {1: (3, False), 2: (3, False), 3: (3, False), 4: (3, False)}
+    assert tags.add_confirmed(few, spark.createDataFrame([(3, "drainage", "confirmed"), (4, "x", "pending")], "comment_id long, tag string, status string")).where("size(event_tags) > 0").count() == 1
+
+
+def test_questions_and_evidence(spark):
+    assert [relevance.topic_from_query(q) for q in ("fire separation?", "tree impact rules", "trees", "door clear width", "beam", "hello")] == ["fire_separation", "tree_impact_mitigation", "tree_related", "clear_width", "structural_calculations", None]
+    assert [relevance.controlled_topic(q) for q in ("garage", "fire garage", "door size and rating", "door rating", "window", "tree roots protection")] == [None, "fire_separation", "door_attributes", "door_rating", None, "tree_protection"]
+    judge = lambda subject, text: one(spark, lambda t, d: relevance.local_relevance(subject, t, d), text, "Planning")
+    assert judge("fire separation", "Grading and drainage plan").is_relevant is False and judge("fire separation", "Grading and drainage plan").record_topic == "grading and drainage permit"
+    assert judge("fire separation", "Provide a rated assembly").confidence == 0.96 and judge("drainage", "show the swale and runoff").confidence == 0.9
+    assert judge("door size", "bird-safe glass near the door").is_relevant is False and judge("door size", "door shall be 36 inches wide").is_relevant
+    assert judge("tree protection", "list each tree").record_topic == "tree inventory, location, or removal" and judge("beam sizes", "check the girder").is_relevant
+    t = one(spark, lambda a, d: relevance.infer_tags(a, d, F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")), "Protect tree roots; submit arborist report", "Planning")
+    assert t.issue_tags == ["tree_protection", "tree_related"] and t.event_tags == ["arborist_documentation", "tree_impact_mitigation"]
+
+
+def test_spreadsheets(spark):
+    head = {c: v for c, v in zip("ABCDEFGH", ["Ref #", "Reviewed By", "Type", "View", "Enter your Comment Response here", "Discussion", "Cycle", "Status"])}
+    cells = [("s", "Log", 2, c, v) for c, v in head.items()] + [("s", "Log", 3, "A", "12.0"), ("s", "Log", 3, "B", "Building Plan Review Al 7/11/25 3:50 PM"), ("s", "Log", 3, "C", "Fix door"), ("s", "Log", 3, "E", "Done"), ("s", "Log", 4, "E", "no comment here"), ("t", "X", 1, "A", "nothing")]
+    df = spark.createDataFrame(cells, "source string, sheet string, row int, column string, value string")
+    schemas = spreadsheets.detect_schemas(df)
+    assert [(r.source, r.template, r.header_row) for r in schemas.collect()] == [("s", "projectdox_review_comments_v1", 2)]
+    rows = {r.row: r for r in spreadsheets.evidence_rows(df, schemas).collect()}
+    assert rows[3].printed_id == "12" and rows[3].department == "Building Plan Review" and rows[3].event_date == "2025-07-11" and rows[3].comment_unit == "XLSX:Log:C3" and rows[3].paired and not rows[4].is_comment
+    check = spreadsheets.verify_locally(spreadsheets.evidence_rows(df, schemas)).first()
+    assert (check.comments, check.orphans, check.same_row_links_correct) == (1, 1, False)
+    said = one(spark, spreadsheets.discussion_events, "Reviewer Response: Al B - 7/11/25 3:50 PM not shown -------------------- Responded by: Cy - 7/1/2025 added")
+    assert [(e.event_type, e.actor, e.occurred_at, e.exact_text) for e in said] == [("reviewer_follow_up", "Al B", "2025-07-11T15:50", "not shown"), ("applicant_response", "Cy", "2025-07-01T00:00", "added")]
+    assert [e.event_type for e in one(spark, spreadsheets.discussion_events, "just a note")] == ["discussion_note"] and one(spark, spreadsheets.discussion_events, " ") == []
+
+
+def test_model_steps(spark):
+    units = spark.createDataFrame([("1:1", "ab"), ("1:2", "c")], "unit_id string, text string")
+    none = spark.createDataFrame([], "unit_id string, input_hash string, version string, embedding array<double>")
+    size = lambda texts: [[float(len(t))] for t in texts]
+    index = cut(models.sync(units, none, size, "m1"), "index")
+    assert {r.unit_id: r.embedding for r in index.collect()} == {"1:1": [2.0], "1:2": [1.0]}
+
+    def fails(texts):
+        raise AssertionError("nothing is to be embedded again")
+
+    assert models.sync(units, index, fails, "m1").count() == 2 and models.sync(units.limit(1), index, fails, "m1").count() == 1
+    with pytest.raises(Exception, match="vectors for"):
+        models.sync(units, none, lambda t: [[1.0]] * (len(t) + 1), "m1").collect()
+    asked = spark.createDataFrame([("a",), ("b",)], "id string")
+    answers = spark.createDataFrame([("a", "1.7"), ("b", "0.1"), ("x", "0.9"), ("a", "oops")], "id string, score string")
+    assert [tuple(r) for r in models.ranked(answers, asked).collect()] == [("a", 1.0)]
+    said = spark.createDataFrame([("a", True, "Fix  the DOOR", 0.9), ("b", True, "made up", 0.9)], "id string, is_relevant boolean, supporting_excerpt string, confidence double")
+    texts = spark.createDataFrame([("a", "please fix the door now"), ("b", "other")], "id string, text string")
+    assert {r.id: r.accepted for r in models.supported(said, texts).collect()} == {"a": True, "b": False}
+    assert models.rewrites("q", [{"query": "Q", "preserves_meaning": True}, {"query": "r", "preserves_meaning": True}, {"query": "s"}]) == ["r"]
+    assert models.analysis({"subject": "door", "technical_terms": "x"}, "per CBC 10.2")["code_sections"] == ["CBC 10.2"] and models.analysis(None, " q ")["semantic_query"] == "q"
+    assert models.display({"blocks": [{"kind": "list", "items": []}], "secondary_references": [{"sheet": "a1", "confidence": "0.6"}, {"sheet": "a2", "confidence": 0.1}]}, "t")["secondary_references"][0]["sheet"] == "A1"
+    made = models.enrich(units.withColumn("input_hash", F.lit("h")), "unit_id", lambda t: {"display_text": t.upper()})
+    assert {r.unit_id for r in made.where("result like '%AB%'").collect()} == {"1:1"}
+
+
+def test_audit(spark, tmp_path):
+    city = lambda p, t: one(spark, audit.infer_city, p, t)
+    assert (city("a_sanjose/x.pdf", "").city, city("a_sanjose/x.pdf", "City of Fremont").city) == ("San Jose", "Fremont") and city("x", "y").city == "unknown"
+    assert city("x", "1 Main St, Palo Alto, CA 94301").confidence == 0.99 and city("menlo-park/x", "sjpermits.org").conflicts == ["Menlo Park"]
+    p = one(spark, audit.infer_project, "12_main_st_san_jose/Building/lot 2/1st Round Comments/lot 3.pdf")
+    assert p.project == "12 Main St — Building / Lot 2" and p.confidence == 0.55
+    rows = [("p/2nd Review/Plan Check Comments.xlsx", "", 1, 1, None, None), ("p/2nd Review/map.pdf", "", 0, 0, [1, 2], 2), ("q/x.txt", "", 0, 0, None, None)]
+    files_ = audit.describe(spark.createDataFrame(rows, "path string, text string, comment_columns int, response_columns int, page_chars array<int>, pages int"))
+    got = {r.path: r for r in files_.collect()}
+    assert got["p/2nd Review/Plan Check Comments.xlsx"].document_type == "combined_comment_response" and got["p/2nd Review/map.pdf"].drawing_heavy and got["q/x.txt"].document_type == "unknown"
+    rounds = {r.likely_review_round: r for r in audit.round_summary(files_).collect()}
+    assert rounds["2"].discovery_status == "spreadsheet_source_found" and rounds["unknown"].discovery_status == "ambiguous_needs_review"
+    fixed = audit.apply_overrides(files_, spark.createDataFrame([("q/x.txt", "Fremont", "", "seen")], "path string, likely_city string, document_type string, note string"))
+    assert [(r.likely_city, r.document_type, r.override_note) for r in fixed.where("overridden").collect()] == [("Fremont", "unknown", "seen")]
+    assert {r.path for r in audit.review_rows(files_).collect()} >= {"q/x.txt", "p/2nd Review/map.pdf"} and "| unknown | 1 |" in audit.report(files_, audit.round_summary(files_))
+    for status in ("running", "complete"):
+        audit.checkpoint(str(tmp_path / "stages"), "extract", status, spark, files=3)
+    assert [(r.stage, r.status, r.details["files"]) for r in audit.checkpoints(spark, str(tmp_path / "stages")).collect()] == [("extract", "complete", "3")]
+    one_row = audit.ingestion_report(spark.createDataFrame([("complete", 2), ("failed", 1)], "processing_status string, comment_count long")).first()
+    assert (one_row.files, one_row.complete, one_row.failed, one_row.comment_count) == (2, 1, 1, 3)
 
 
 def test_cut_is_shared(spark):
