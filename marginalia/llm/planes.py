@@ -11,14 +11,15 @@ A shard file holds the ids of a run of documents in ascending doc_id order:
     footer   8 bytes: the index's length, little-endian
 
 Texts are encoded where they are read, and their ids alone (16 bits each) are
-dealt out to shards by a range of (doc_id, row), so that a doc_id which a third of
-the rows carry is split among shards.  A reader seeks to the footer, then the index, then only the chunks it wants.
+shuffled: to shards by ranges of (doc_id, row), so that a doc_id which a third of
+the rows carry is split among shards.  The ranges come from a sample of the keys.  A reader seeks to the footer, then the index, then only the chunks it wants.
 Shards are written through ``pyarrow.fs`` below the shared folder under a name
 of the attempt and renamed when whole, so a task may be run again or twice.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import uuid
 import zlib
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.tokens import encoder, text_batches, vocabulary_path
-from marginalia.storage import Rows, cut, new_folder, remove_folder
+from marginalia.storage import Rows, cut, new_folder
 
 MAGIC = b"MGPLANE1"
 BLOCK = 1 << 16
@@ -136,13 +137,30 @@ class ShardReader:
         return np.concatenate(out) if out else np.empty(0, "<u2")
 
 
-def _encode(path: str, rest: tuple[str, ...]):
+#: Keys sampled a shard, for the ranges.
+KEYS = 100
+
+
+def ranges(keys: DataFrame, shards: int) -> list[tuple]:
+    """First keys (doc_id, __file, __row) of all shards but the first, nulls first; at most ``shards * KEYS`` keys, or twice that, come to the driver."""
+    part = "__part"
+    rows = keys.withColumn(part, F.pmod(F.xxhash64("__file", "__row"), F.lit(1 << 30)))
+    share = min(1.0, shards * KEYS / max(1, rows.count()))
+    found = rows.where(F.col(part) < int(share * (1 << 30))).limit(2 * shards * KEYS).select("doc_id", "__file", "__row").collect() if share < 1 else rows.select("doc_id", "__file", "__row").collect()
+    ordered = sorted(((r[0] is not None, r[0] or 0, r[1], r[2]) for r in found))
+    return sorted({ordered[len(ordered) * k // shards] for k in range(1, shards)}) if ordered else []
+
+
+def _encode(path: str, bounds: list[tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in text_batches(texts):
+                part = batch.slice(a, b - a)
+                keys = zip(*(part.column(c).to_pylist() for c in ("doc_id", "__file", "__row")))
+                shard = [bisect.bisect_right(bounds, (d is not None, d or 0, f, r)) for d, f, r in keys]
                 ids = pa.array(encoder(path).encode(texts[a:b]), pa.binary())
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in rest], ids], names=[*rest, "ids"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("__file", "__row", "doc_id")], pa.array(shard, pa.int32()), ids], names=["__file", "__row", "doc_id", "shard", "ids"])
 
     return run
 
@@ -176,11 +194,10 @@ def write_shards(docs: DataFrame | Rows, folder: str, path: str | None = None, k
     spark, key = given.frame.sparkSession, given.key
     rows = given.pick(doc_id="long", text="string")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = new_folder(spark, "encoded")
-    encoded = cut(rows.mapInArrow(_encode(path or vocabulary_path(), (*key, "doc_id")), "__file long, __row long, doc_id long, ids binary"), "encoded", f"{at}/ids")
-    ordered = encoded.repartitionByRange(shards, "doc_id", *key).sortWithinPartitions("doc_id", *key)
+    bounds = ranges(rows.drop("text"), shards)
+    encoded = rows.mapInArrow(_encode(path or vocabulary_path(), bounds), "__file long, __row long, doc_id long, shard int, ids binary")
+    ordered = encoded.repartitionById(shards, F.col("shard")).sortWithinPartitions("doc_id", *key).select("doc_id", "ids")
     made = cut(ordered.mapInArrow(_write(folder, kind), "shard int, name string, n_docs long, n_ids long"), "manifest", f"{folder}/manifest")
-    remove_folder(spark, at)
     # one row a shard, so a window over all of them is small
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return made.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

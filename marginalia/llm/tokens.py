@@ -16,7 +16,7 @@ import numpy as np
 
 END_ID = 2
 #: Bytes of memory that a generation of words takes before the next begins, and of a word and its ids beside their own.
-GENERATION, ENTRY = 200 << 20, 150
+GENERATION, ENTRY = 150 << 20, 150
 #: Longest word, in bytes, that is kept.
 LONGEST = 64
 

@@ -241,6 +241,11 @@ def test_planes_odd(odd):
     rows = planes.encode_documents(extra(odd), kind="bit").orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None, 1, 2, 3, 4, 5, 5, 6] and rows[1].n_tokens == 1
     assert planes.encode_documents(odd.limit(0)).count() == 0
+    # a doc_id that all rows carry is split among shards, and order holds over them
+    same = odd.sparkSession.createDataFrame([(7, f"w{i}") for i in range(400)], "doc_id long, text string")
+    folder = planes.new_folder(odd.sparkSession, "same")
+    manifest = planes.write_shards(same, folder, shards=4)
+    assert [r.shard for r in manifest.orderBy("shard").collect()] == [0, 1, 2, 3] and sorted(r.start for r in planes.read_documents(manifest, folder).collect())[0] == 0
 
 
 def brute_lines(rows, least):
