@@ -309,3 +309,17 @@ def test_search_evaluation_asks_every_twentieth(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "nearest_vectors", lambda v, q, k: asked.extend(r.vec_id for r in q.select("vec_id").collect()) or true(v, q, k))
     retrieval.QUERIES["search_evaluation"][0](spark, "/root/testdata/sf0.001").collect()
     assert sorted(asked) == sorted(r.vec_id for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 20 = 0").collect())
+
+
+def test_without_both_llm_folders(tmp_path):
+    """A copy without the subpackage, its tests and the pipeline imports and has the library's queries, all with runnable names."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parents[1]
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'overview' in q and set(o) <= set(q) and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True)
+    assert out.returncode == 0 and int(out.stdout) > 100, out.stderr
