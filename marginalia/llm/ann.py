@@ -18,9 +18,9 @@ entries of a list and the queries that read it meet by a shuffle on the list;
 long lists, and lists that many queries read, are cut into parts that meet each
 other, so a task holds at most ``LIST_ROWS`` of either.
 
-Vectors of each length are searched among their own.  A length with more than
-``LIST_ROWS`` entries has an index of its own; the entries of each shorter one
-are a single list, read by all its queries.
+Vectors of each length are searched among their own.  The commonest length, and
+each with more than ``LIST_ROWS`` entries, has an index of its own; the entries
+of each rarer one are a single list, read by all its queries.
 """
 
 from __future__ import annotations
@@ -243,8 +243,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     clean = lambda df: pick(df, vec_id="long", embedding="array<double>").withColumnRenamed("embedding", "v").where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     every, asked = clean(vectors), clean(queries).distinct()
     entries = entries_of(every, k)
-    counts = entries.groupBy(F.size("v").alias("length")).count()
-    large = {r[0]: r[1] for r in counts.where(F.col("count") > LIST_ROWS).collect()}  # lengths, of which few have so many
+    counts = cut(entries.groupBy(F.size("v").alias("length")).count(), "lengths")
+    # lengths with an index: the commonest, and those with very many, of which there are few
+    large = {r[0]: r[1] for r in counts.orderBy(F.desc("count"), "length").limit(1).union(counts.where(F.col("count") > LIST_ROWS)).collect()}
     if vectors is queries or entries.isEmpty():
         own = entries.select("g", "v")
     else:
