@@ -31,13 +31,15 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sparse(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity 0.8 or more.
+    """One document of each component of SimHash fingerprints, as ``op1_simhash`` has them: links at 4 or fewer differing bits.
 
-    The smallest doc_id stays, a null one last, then the first row.  Null, empty
-    and blank texts are copies of one another; a text of fewer than five words is
-    one shingle.  Columns of any names come through; an empty table stays empty.
+    No such link is lost, and a component of any size costs no more than its
+    cells do.  The smallest doc_id stays, a null one last, then the first row.
+    Null, empty and blank texts have the fingerprint zero and are copies of one
+    another; a text of fewer than four words is one shingle.  Columns of any
+    names come through; an empty table stays empty.
     """
-    return simhash.drop_near_copies(docs)
+    return simhash.drop_near_fingerprints(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -255,6 +255,12 @@ def near_groups(docs: DataFrame | Rows, width: int = 4, bits: int = MAX_BITS, bl
     return found.select("doc_id", hexed.alias("fingerprint"), F.col("least.doc_id").alias("component_id"), (F.struct(*key) == F.struct(*[F.col(f"least.{k}").alias(k) for k in key])).alias("kept"), *key)
 
 
+def drop_near_fingerprints(docs: DataFrame, width: int = 4, bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each of ``near_groups``' components, all columns as they were."""
+    rows = Rows.of(docs)
+    return rows.only(near_groups(rows, width, bits).where("kept"))
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 32-bit hashes of a text's word shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()

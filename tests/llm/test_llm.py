@@ -698,6 +698,25 @@ def test_pipeline_odd(spark, odd, tmp_path):
             assert out.columns == packing.pack(given).columns and (out.count() > 0) == (n > 0)
 
 
+def test_pipeline_near_copies_are_those_of_op1(spark):
+    """The stage keeps the least doc_id of each of op1's components, whatever the size of a group."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    texts = {0: None, 1: " \n", 2: "one two"}
+    for i in range(3, 120):
+        near = list(base)
+        near[rng.randrange(400)] = f"x{i}"
+        texts[i] = " ".join(near)
+    for i in range(120, 150):  # the second of two has a word more, which may be too much for 4 bits
+        texts[i] = texts[i - 1] + " end" if i % 2 else " ".join(f"y{rng.randrange(500)}" for _ in range(60))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = python_components({i: python_fingerprint(t or "") for i, t in texts.items()})
+    kept = {r.doc_id for r in corpus_pipeline.sparse(spark, docs, DIR).collect()}
+    assert kept == set(want.values()) and 5 < len(kept) < 60
+
+
 def test_near_copies_odd(odd):
     """Null, empty and blank texts are copies of one another; a long text, ties and clashing names do no harm."""
     rows = simhash.similar_groups(extra(odd)).collect()
