@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import similarity as S
 from marginalia.functions import text as X
+from marginalia.operators import nearjoin
 from marginalia.operators.components import connected_components
 from marginalia.plans.records import normal_sql, records, sql, table
 from marginalia.storage import cut
@@ -47,40 +48,39 @@ def event_key_repeats(df: DataFrame) -> DataFrame:
 def near_pairs(df: DataFrame, block: list[str]) -> DataFrame:
     """Pairs of records of a block that are high-confidence duplicates: left, right, signals, sequence, match.
 
-    Such pairs have bags of words whose Jaccard similarity is 0.90 at least.
-    Bags are made sets by numbering (the second ``the`` is a word of its own),
-    and of two sets that near each other the first ``n - ceil(0.9 * n) + 1``
-    words, rarest first, have one in common: candidates come from an equi-join
-    on those, and none is missed.  Cheap tests go before the sequence ratio.
+    Such pairs have bags of words whose Jaccard similarity is 0.90 at least, and
+    equal numbers, negations and progression.  ``nearjoin`` finds all that may,
+    from narrow rows; only their texts are fetched, for the exact tests.
     Records of equal normal text are told by their least id, ``text_members``
     says by which.
     """
-    base = text_members(df, block).where("comment_id = of").select(*block, "comment_id", "normal")
-    base = cut(base, "normal")
-    full = cut(base.join(S.bags(base, ["comment_id"], S.words(F.col("normal"))), "comment_id"), "bags")
-    words = full.select(*block, "comment_id", F.size("bag").alias("n"), F.explode("bag").alias("w"))
-    often = words.groupBy(*block, "w").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = words.join(often, [*block, "w"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("comment_id").orderBy("df", "w"))
-    prefix = ranked.withColumn("k", place).where((F.col("k") <= F.col("n") - F.ceil(F.lit(S.JACCARD) * F.col("n") - 1e-9) + 1) & (F.col("df") > 1))
-    a, b = (prefix.select(*block, "w", F.col("comment_id").alias(side), F.col("n").alias(f"{side}_n")) for side in ("left", "right"))
-    met = a.join(b, [*block, "w"]).where("left < right").where(F.least("left_n", "right_n") >= S.JACCARD * F.greatest("left_n", "right_n"))
-    pairs = cut(met.select("left", "right").distinct(), "pairs")
+    base = _normal(df, block)
     n = F.col("normal")
-    side = lambda s: full.select(F.col("comment_id").alias(s), F.col("normal").alias(f"{s}_text"), F.col("bag").alias(f"{s}_bag"), F.array_join(X.parameter_tokens(n), ",").alias(f"{s}_p"), F.array_join(X.negation_tokens(n), ",").alias(f"{s}_n"), X.has_progression_language(n).alias(f"{s}_g"))
+    marks = F.xxhash64(F.array_join(X.parameter_tokens(n), ","), F.array_join(X.negation_tokens(n), ","), X.has_progression_language(n))
+    rows = cut(nearjoin.features(base.select(*block, "comment_id", "digest", marks.alias("marks"), "normal")), "bags")
+    least = base.groupBy(*block, "digest").agg(F.min("comment_id").alias("of"))
+    own = rows.join(least, [*block, "digest"]).where("comment_id = of").drop("of", "digest")
+    pairs = cut(nearjoin.candidates(own, [*block, "marks"]), "pairs")
+    texts = cut(base.join(pairs.select(F.explode(F.array("left", "right")).alias("comment_id")).distinct(), "comment_id", "left_semi").select("comment_id", "normal"), "texts")
+    side = lambda s: texts.select(F.col("comment_id").alias(s), F.col("normal").alias(f"{s}_text"), F.array_join(X.parameter_tokens(n), ",").alias(f"{s}_p"), F.array_join(X.negation_tokens(n), ",").alias(f"{s}_n"), X.has_progression_language(n).alias(f"{s}_g"))
     joined = pairs.join(side("left"), "left").join(side("right"), "right").where("left_p = right_p and left_n = right_n and left_g = right_g")
-    joined = joined.withColumn("signals", S.bag_signals(F.col("left_bag"), F.col("right_bag")))
+    joined = joined.select("left", "right", "left_text", "right_text", S.text_signals("left_text", "right_text").alias("signals"))
     high = (F.col("signals.containment") >= S.CONTAINMENT) & (F.col("signals.jaccard") >= S.JACCARD) & (F.col("signals.length_ratio") >= S.LENGTH_RATIO)
-    kept = cut(joined.select("left", "right", "left_text", "right_text", "signals").where(high), "survivors")
-    kept = kept.withColumn("sequence", S.sequence_ratio("left_text", "right_text")).where(F.col("sequence") >= S.SEQUENCE)
+    kept = joined.where(high).withColumn("sequence", S.sequence_ratio("left_text", "right_text")).where(F.col("sequence") >= S.SEQUENCE)
     return kept.select("left", "right", "signals", "sequence", F.lit("HIGH_CONFIDENCE_DUPLICATE").alias("match"))
 
 
+def _normal(df: DataFrame, block: list[str]) -> DataFrame:
+    """Each record with a normal text, and the text's digest, written to the shared folder."""
+    base = cut(df.select(*block, "comment_id", X.normalize_event_text("text").alias("normal")).where("normal <> ''"), "members")
+    return base.withColumn("digest", F.unhex(F.sha2("normal", 256)))
+
+
 def text_members(df: DataFrame, block: list[str]) -> DataFrame:
     """Each record with a normal text, and the least id of its block's records of that text (of)."""
-    base = cut(df.select(*block, "comment_id", X.normalize_event_text("text").alias("normal")).where("normal <> ''"), "members")
-    least = base.groupBy(*block, "normal").agg(F.min("comment_id").alias("of"), F.count("*").alias("copies"))
-    return base.join(least, [*block, "normal"])
+    base = _normal(df, block)
+    least = base.groupBy(*block, "digest").agg(F.min("comment_id").alias("of"), F.count("*").alias("copies"))
+    return base.join(least, [*block, "digest"]).drop("digest")
 
 
 def possible_pairs(df: DataFrame, block: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import dates as D
 from marginalia.functions import keys as K
 from marginalia.functions import text as X
-from marginalia.operators import dedup, documents, duplicates, threads
+from marginalia.operators import dedup, documents, duplicates, nearjoin, threads
 
 
 def one(spark, build, *values):
@@ -38,6 +38,22 @@ def components(ids, linked):
     return {i: root(i) for i in ids}
 
 
+def test_near_candidates_of_a_shared_word(spark):
+    """Texts that share rare words but are not near are no candidates, however many; near ones are, also across batches."""
+    rng = random.Random(5)
+    pool = words(rng, 3000)
+    texts = ["zebra quagga " + " ".join(rng.sample(pool, 60)) for _ in range(300)]
+    texts += [t + " more" for t in texts[:40]]
+    df = spark.createDataFrame([(i, "c", t) for i, t in enumerate(texts)], "comment_id long, city string, normal string")
+    want = {(i, i + 300) for i in range(40)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        rows = nearjoin.features(df)
+        assert {(r.left, r.right) for r in nearjoin.candidates(rows, ["city"]).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_near_pairs_lose_none(spark):
     """Random bags of few and of very frequent words, against all pairs."""
     rng, rows = random.Random(3), []
