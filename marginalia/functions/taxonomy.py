@@ -41,7 +41,8 @@ def classify_topic(text: Column, discipline: Column) -> Column:
     have none, and need no other.
     """
     body, field = identity_fold(F.coalesce(text, F.lit(""))), F.coalesce(discipline, F.lit(""))
-    either = lambda words: _whole(body, words) | _whole(F.lower(field), words) | _whole(F.concat_ws(" ", F.lower(field), F.substring(body, 1, 40)), words)
+    value = F.concat_ws(" ", identity_fold(field), body)
+    either = lambda words: _whole(value, words)
     topic = lambda i, p, a: F.struct(F.lit(i).alias("topic_id"), F.lit(p).alias("parent"), F.lit(a).alias("aspect"))
 
     def aspects(prefix: str, parent: str, rules: list, last: str) -> Column:

@@ -8,6 +8,8 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from compare import duck, spark_rows
+from marginalia import catalog
 from marginalia.functions import identity as I
 from marginalia.functions import relevance
 from marginalia.functions import similarity as S
@@ -79,6 +81,22 @@ def test_topics(spark):
     assert t("provide drain") == "DRAINAGE_STORMWATER" and t("hello") == "GENERAL_PLANNING_REVIEW"
 
 
+def test_topics_of_a_word_at_any_place(spark):
+    """A topic's word counts where it is whole, wherever it stands, also across the discipline's end."""
+    t = lambda text, d="Planning": one(spark, C.classify_topic, text, d).topic_id
+    for n in range(30, 45):
+        assert t("x" * n + " treen and so on") == "GENERAL_PLANNING_REVIEW" and t("x" * n + " tree and so on") == "TREES_TREE_REVIEW"
+    assert t("plan of it", "Site") == "GRADING_SITE_WORK" and t("planned", "Site") == "GENERAL_SITE_REVIEW"
+
+
+def test_topic_queries_at_a_word_cut_anywhere(spark, tmp_path):
+    rows = [(i, "x" * i + " treen and so on", f"s{i % 3}", "en") for i in range(25, 50)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = spark_rows(catalog.queries()["topic_counts"](spark, str(tmp_path)))
+    assert got == duck(catalog.oracle_sql()["topic_counts"], str(tmp_path))
+
+
 def test_trust(spark):
     assert one(spark, trust.is_general_review_text, " - Noted. ") and not one(spark, trust.is_general_review_text, "Provide brace at ridge")
     assert one(spark, trust.is_malformed_rollup, "A. PC1 x pc2: y PC3: z", "Response.pdf")
