@@ -93,8 +93,8 @@ def test_topic_queries_at_a_word_cut_anywhere(spark, tmp_path):
     rows = [(i, "x" * i + " treen and so on", f"s{i % 3}", "en") for i in range(25, 50)]
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    got = spark_rows(catalog.queries()["topic_counts"](spark, str(tmp_path)))
-    assert got == duck(catalog.oracle_sql()["topic_counts"], str(tmp_path))
+    for name in ("topic_counts", "topics"):
+        assert spark_rows(catalog.queries()[name](spark, str(tmp_path))) == duck(catalog.oracle_sql()[name], str(tmp_path))
 
 
 def test_trust(spark):
