@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm import exact, mixture, packing, quality, simhash
-from marginalia.storage import cut
+from marginalia.storage import cut, new_folder, remove_folder
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; a stage's table goes as soon as the next one has been written, so two are on disk at most."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        folder = new_folder(spark, f"pipeline-{name}")
+        docs = cut(stage(spark, docs, sf_dir), name, folder)
+        if before:
+            remove_folder(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -717,6 +718,26 @@ def test_pipeline_near_copies_are_those_of_op1(spark):
     assert kept == set(want.values()) and 5 < len(kept) < 60
 
 
+def test_pipeline_keeps_no_table_of_earlier_stages(spark, monkeypatch):
+    """Of the stages' tables the last alone is there when the packing begins."""
+    import corpus_pipeline
+    from marginalia import storage
+
+    folders = []
+
+    def noted(*args):
+        df = storage.cut(*args)
+        folders.append(Path(df.inputFiles()[0].removeprefix("file://")).parent)
+        return df
+
+    monkeypatch.setattr(corpus_pipeline, "cut", noted)
+    whole = [(name, lambda s, docs, d: docs.where("doc_id is not null")) for name, _ in corpus_pipeline.STAGES[:-1]]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*whole, corpus_pipeline.STAGES[-1]])
+    out = corpus_pipeline.run(spark, DIR)
+    assert len(set(folders)) == 4 and [f.exists() for f in folders] == [False] * 3 + [True]
+    assert out.select("doc_id").distinct().count() == spark.read.parquet(f"{DIR}/documents.parquet").count()
+
+
 def test_near_copies_odd(odd):
     """Null, empty and blank texts are copies of one another; a long text, ties and clashing names do no harm."""
     rows = simhash.similar_groups(extra(odd)).collect()
