@@ -206,6 +206,30 @@ def test_encoder_equals_whole_texts(texts):
         assert np.array_equal(np.frombuffer(ids, "<u2"), token_ids(text)), text
 
 
+def test_encoder_new_plain_words_by_model_alone():
+    """Words not met before go through the library's normalizer and pattern only if they aren't plain; ids are the whole tokenizer's all the same."""
+    e = tokens.Encoder(tokens.vocabulary_path())
+    whole, asked = e.tokenizer, []
+
+    class Watched:
+        def encode_batch_fast(self, words, **more):
+            asked.extend(words)
+            return whole.encode_batch_fast(words, **more)
+
+    e.tokenizer = Watched()
+    plain = ["Ndretion,", "ciónja###", "ÈEUX'S", "Привет!'ll", "a1b22c", "don't", "'re'Rex", "(x)"]
+    rng = random.Random(5)
+    signs = [chr(c) for c in range(0x21, 0x7F)] + list("éÖßñжЁ") + ["'s", "'LL", "'"]
+    plain += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    other = ["e\u0301x", "İx", "\u212ax", "ΣΑΣ", "中文", "a…b", "x½", "<|endoftext|>", "a<|ENDOFTEXT|>", "a\x1cb", "é" * 40]
+    for text, ids in zip(plain + other, e.encode(plain + other)):
+        assert np.array_equal(np.frombuffer(ids, "<u2"), np.array(whole.encode(text, add_special_tokens=False).ids + [2])), text
+    assert set(asked) == set(other)
+    for c in e.plain.letters:
+        for text in (f"{c}", f"a{c}{c}b.{c}", f"1{c}'{c}"):
+            assert e.plain.encode([text.encode()])[1] == [np.array(whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()], text
+
+
 def test_planes_round_trip(tmp_path):
     rng = np.random.default_rng(0)
     for kind in ("byte", "bit"):
