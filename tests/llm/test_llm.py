@@ -628,6 +628,41 @@ def test_packing_query(spark, texts):
         assert at == len(ids)
 
 
+def test_packing_new_plain_words_by_model_alone(monkeypatch):
+    """A packing task gives no plain word to the whole tokenizer; blanks at either end, empty and null texts keep their places."""
+    import pyarrow as pa
+    import pyspark
+
+    e, asked = tokens.Encoder(tokens.vocabulary_path()), []
+    whole = e.tokenizer
+
+    class Watched:
+        def encode_batch_fast(self, words, **more):
+            asked.extend(words)
+            return whole.encode_batch_fast(words, **more)
+
+    class Context:
+        get = staticmethod(lambda: type("", (), {"partitionId": lambda self: 0})())
+
+    e.tokenizer = Watched()
+    monkeypatch.setattr(packing, "encoder", lambda path: e)
+    monkeypatch.setattr(pyspark, "TaskContext", Context)
+    rng = random.Random(6)
+    made = [None, "", "  ", "\tÑandú, \x0b don't\r\n", *(" ".join("".join(rng.choices("abcdeé,3'", k=9)) for _ in range(rng.randint(0, 60))) + " " * (i % 3) for i in range(300)), None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(made))), "text": made})
+    got = collections.defaultdict(list)
+    for out in packing._pack("", 1 << 14, 4096)(iter([batch])):
+        for r in out.to_pylist():
+            got[r["doc_id"]].append(r)
+    for i, text in enumerate(made):
+        ids, at = np.array(whole.encode(text or "", add_special_tokens=False).ids + [2], "<u4"), 0
+        for r in sorted(got[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    assert not asked
+
+
 def test_packing_odd(odd):
     rows = packing.pack(extra(odd)).collect()
     assert {r.doc_id for r in rows} == {None, 1, 2, 3, 4, 5, 6} and sum(r.length for r in rows) == sum({(r.doc_id, r.doc_tokens): r.doc_tokens for r in rows}.values()) + next(r.doc_tokens for r in rows if r.doc_id == 5)
