@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +14,7 @@ from marginalia.functions import similarity as S
 from marginalia.functions import text as X
 from marginalia.operators import nearjoin
 from marginalia.operators.components import connected_components
-from marginalia.plans.records import normal_sql, records, sql, table
+from marginalia.plans.records import normal_sql, record_texts, records, sql, table
 from marginalia.storage import cut
 
 
@@ -54,22 +59,48 @@ def near_pairs(df: DataFrame, block: list[str]) -> DataFrame:
     Records of equal normal text are told by their least id, ``text_members``
     says by which.
     """
-    base = _normal(df, block)
-    n = F.col("normal")
-    marks = F.xxhash64(F.array_join(X.parameter_tokens(n), ","), F.array_join(X.negation_tokens(n), ","), X.has_progression_language(n))
-    rows = cut(nearjoin.features(base.select(*block, "comment_id", "digest", marks.alias("marks"), "normal")), "bags")
-    least = base.groupBy(*block, "digest").agg(F.min("comment_id").alias("of"))
-    own = rows.join(least, [*block, "digest"]).where("comment_id = of").drop("of", "digest")
-    pairs = cut(nearjoin.candidates(own, [*block, "marks"]), "pairs")
-    texts = cut(base.join(pairs.select(F.explode(F.array("left", "right")).alias("comment_id")).distinct(), "comment_id", "left_semi").select("comment_id", "normal"), "texts")
-    side = lambda s: texts.select(F.col("comment_id").alias(s), F.col("normal").alias(f"{s}_text"), F.array_join(X.parameter_tokens(n), ",").alias(f"{s}_p"), F.array_join(X.negation_tokens(n), ",").alias(f"{s}_n"), X.has_progression_language(n).alias(f"{s}_g"))
-    joined = pairs.join(side("left"), "left").join(side("right"), "right").where("left_p = right_p and left_n = right_n and left_g = right_g")
-    joined = joined.select("left", "right", "left_text", "right_text", S.text_signals("left_text", "right_text").alias("signals"))
-    high = (F.col("signals.containment") >= S.CONTAINMENT) & (F.col("signals.jaccard") >= S.JACCARD) & (F.col("signals.length_ratio") >= S.LENGTH_RATIO)
-    kept = joined.where(high).withColumn("sequence", S.sequence_ratio("left_text", "right_text")).where(F.col("sequence") >= S.SEQUENCE)
+    plain = df.select(*block, "comment_id", "text").dropna(subset=[*block, "comment_id"])
+    rows = cut(nearjoin.features(plain), "bags")
+    least = rows.groupBy(*block, "digest").agg(F.min("comment_id").alias("comment_id")).select("comment_id")
+    copies = cut(rows.select("comment_id").join(least, "comment_id", "left_anti"), "copies")
+    pairs = cut(nearjoin.candidates(rows.join(copies, "comment_id", "left_anti"), [*block, "marks"], rows), "pairs")
+    ids = pairs.select(F.explode(F.array("left", "right")).alias("comment_id")).distinct()
+    texts = cut(plain.select("comment_id", "text").join(ids, "comment_id", "left_semi").mapInArrow(_normals, f"id {df.schema['comment_id'].dataType.simpleString()}, normal string"), "texts")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    half = pairs.join(texts.select(F.col("id").alias("left"), F.col("normal").alias("left_text")), "left").repartition(parts, "right")
+    other = texts.select(F.col("id").alias("right"), F.col("normal").alias("right_text")).repartition(parts, "right")
+    kept = half.join(other, "right").select("left", "right", "left_text", "right_text").mapInArrow(_tested, f"left long, right long, signals {S.SIGNALS.simpleString()}, sequence double")
     return kept.select("left", "right", "signals", "sequence", F.lit("HIGH_CONFIDENCE_DUPLICATE").alias("match"))
 
 
+def _normals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            yield pa.RecordBatch.from_arrays([some.column("comment_id"), pa.array(X.identity_forms(some.column("text").to_pylist()), pa.string())], names=["id", "normal"])
+
+
+def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with their texts: those that are high-confidence duplicates. A text's part is made once where its pairs follow each other."""
+    bag = lambda t: Counter(re.findall("[a-z0-9]+", t))
+    held = None
+    for batch in batches:
+        out = []
+        for left, right, a, b in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "left_text", "right_text"))):
+            if held is None or held[0] != b:
+                held = b, S.Sequence(b), X.marks(b), bag(b)
+            _, sequence, marks, words = held
+            ratio = sequence.ratio(a, S.SEQUENCE)
+            if ratio is None or X.marks(a) != marks:
+                continue
+            signals = S.counted_signals(bag(a), words)
+            if signals[0] >= S.CONTAINMENT and signals[1] >= S.JACCARD and signals[2] >= S.LENGTH_RATIO:
+                out.append((left, right, dict(zip(S.SIGNALS.names, signals)), ratio))
+        lefts, rights, signals, ratios = zip(*out) if out else ([], [], [], [])
+        kinds = pa.int64(), pa.int64(), pa.struct([(c, pa.float64()) for c in S.SIGNALS.names]), pa.float64()
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((lefts, rights, signals, ratios), kinds)], names=["left", "right", "signals", "sequence"])
+
+
 def _normal(df: DataFrame, block: list[str]) -> DataFrame:
     """Each record with a normal text, and the text's digest, written to the shared folder."""
     base = cut(df.select(*block, "comment_id", X.normalize_event_text("text").alias("normal")).where("normal <> ''"), "members")
@@ -154,7 +185,7 @@ QUERIES = {
             "k AS (SELECT comment_id, first_value(comment_id) OVER (PARTITION BY project_id, review_round, fingerprint, p, g ORDER BY (link_status = 'confirmed') DESC, (response_id IS NOT NULL) DESC, (trust = 'verified') DESC, comment_id) AS w, count(*) OVER (PARTITION BY project_id, review_round, fingerprint, p, g) AS group_size FROM f)",
         ),
     ),
-    "near_pairs": (lambda s, d: near_pairs(records(s, d), ["city"]).select("left", "right", F.round("sequence", 6).alias("sequence"), "match"), None),
+    "near_pairs": (lambda s, d: near_pairs(record_texts(s, d), ["city"]).select("left", "right", F.round("sequence", 6).alias("sequence"), "match"), None),
     "text_members": (
         lambda s, d: text_members(records(s, d), ["city"]).select("comment_id", "of", "copies"),
         sql(f"SELECT comment_id, min(comment_id) OVER (PARTITION BY city, normal) AS of, count(*) OVER (PARTITION BY city, normal) AS copies FROM (SELECT *, {normal_sql('text')} AS normal FROM records) WHERE normal <> ''"),
