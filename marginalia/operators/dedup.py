@@ -65,7 +65,7 @@ def near_pairs(df: DataFrame, block: list[str]) -> DataFrame:
     copies = cut(rows.select("comment_id").join(least, "comment_id", "left_anti"), "copies")
     pairs = cut(nearjoin.candidates(rows.join(copies, "comment_id", "left_anti"), [*block, "marks"], rows), "pairs")
     ids = pairs.select(F.explode(F.array("left", "right")).alias("comment_id")).distinct()
-    texts = cut(plain.select("comment_id", "text").join(ids, "comment_id", "left_semi").mapInArrow(_normals, f"id {df.schema['comment_id'].dataType.simpleString()}, normal string"), "texts")
+    texts = cut(plain.select("comment_id", "text").join(ids, "comment_id", "left_semi").mapInArrow(_normals, f"id {df.schema['comment_id'].dataType.simpleString()}, normal string"), "texts", compression="zstd")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     half = pairs.join(texts.select(F.col("id").alias("left"), F.col("normal").alias("left_text")), "left").repartition(parts, "right")
     other = texts.select(F.col("id").alias("right"), F.col("normal").alias("right_text")).repartition(parts, "right")
